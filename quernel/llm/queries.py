@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, neardup, tokens
+from . import leakage, mixing, neardup, spam, tokens
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(table(spark, sf_dir, "documents", "doc_id", "text"), threshold=0.8)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_passages(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.unreachable(table(spark, sf_dir, "documents", "source", "text"), table(spark, sf_dir, "tokenizer_pieces"), table(spark, sf_dir, "mix_targets")).select("mix_id", "source")
 
@@ -44,6 +52,14 @@ def p8_mixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fill_mixes(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "tokenizer_pieces"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_pages(spark, sf_dir).select("doc_id")
+
+
+def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.keyword_pages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 

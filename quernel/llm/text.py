@@ -31,11 +31,12 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFD", text).translate(_MARKS).translate(_BASE)
 
 
-def plain_words(text: str) -> list[str]:
-    """Words of the NFC form in lower case."""
+def words_of(text: str) -> list[str]:
+    """Words of the NFC form, as written. Case is folded per word (``lower_hash``, ``fold_hash``), as lower-casing a
+    whole text may break words (dotted capital I)."""
     if not text.isascii() and not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
-    return WORD.findall(text.lower())
+    return WORD.findall(text)
 
 
 class Cache(dict):
@@ -52,8 +53,12 @@ class Cache(dict):
         return value
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def lower_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.lower())
+
+
+def fold_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(fold(word))
 
 
 #: Odd multipliers for sequences of words, from a fixed seed.
