@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, mixing, neardup, spam, tokens
+from . import language, leakage, mixing, neardup, spam, tokens
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_segments(spark, sf_dir).where((F.col("segments") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("ext_id", F.col("segment_no").cast("int").alias("segment_no"), "lang")
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_languages(table(spark, sf_dir, "extracted_documents", "ext_id", "text", "language", "loaded_at"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import WORD, Cache, arrow_map, fold
+from .text import CODE, MAYBE_CODE, WORD, Cache, arrow_map, fold
 
 # Frequent function words of the four languages, without accents.
 FUNCTION_WORDS = frozenset(
@@ -43,8 +43,6 @@ FUNCTION_WORDS = frozenset(
 
 LINK = re.compile(r"(?:https?://|www\.)\S+|#\w+", re.IGNORECASE)
 UNIT = re.compile(r"\n+|(?<=[.!?…])[\"'”“’»)\]]*\s+")
-CODE = re.compile(r"^\s*(?:def |for |while |if |else\b|elif |return |yield |with |import |from \w+ import|print\(|class |@\w|[\w.]+ ?[-+*/]?= ?\S|[{}();]+\s*$)|\w\(.*\):?\s*$")
-MAYBE_CODE = re.compile(r"[=(@:{}]")
 FIELD = re.compile(r"\b[A-Z]{2,4}-\d{3,}\b|\b(?:SKU|EAN)\b")
 
 WINDOW = 48

@@ -17,6 +17,10 @@ WORD = re.compile(r"[^\W_]+")
 #: Sentence end: closing punctuation (with a closing quote or bracket), then white space; or a line end.
 SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”“’»)\]]*\s+|\n+")
 
+#: A line of program code; MAYBE_CODE is a cheap necessary condition for most of them.
+CODE = re.compile(r"^\s*(?:def |for |while |if |else\b|elif |return |yield |with |import |from \w+ import|print\(|class |@\w|[\w.]+ ?[-+*/]?= ?\S|[{}();]+\s*$)|\w\(.*\):?\s*$")
+MAYBE_CODE = re.compile(r"[=(@:{}]")
+
 _MARKS = {c: None for c in range(0x300, 0x370)}
 
 # Letters that Unicode decomposition doesn't reduce to a base letter.

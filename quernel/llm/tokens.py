@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, pieces: DataFrame, text_col: str = "text", out
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(out_col, "long")
-    fields: pa.Schema = to_arrow_schema(schema, timezone="UTC")
+    fields: pa.Schema = to_arrow_schema(schema)
     return arrow_map(docs.select(*[F.col(f"`{c}`") for c in [*keep, text_col]]), counts, schema, fields, lambda: PieceCounter(vocabulary))
 
 
