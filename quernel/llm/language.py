@@ -28,9 +28,9 @@ LABELS = {
     "en": "en", "eng": "en", "english": "en", "ingilizce": "en", "i̇ngilizce": "en", "englisch": "en", "anglais": "en",
     "de": "de", "deu": "de", "ger": "de", "german": "de", "deutsch": "de", "almanca": "de", "allemand": "de",
     "fr": "fr", "fra": "fr", "fre": "fr", "french": "fr", "français": "fr", "francais": "fr", "fransızca": "fr", "französisch": "fr",
-    "und": "unknown", "zxx": "unknown",
+    "unknown": "unknown", "und": "unknown", "zxx": "unknown",
 }
-STAND_INS = ("", "unknown", "n/a", "na", "null", "none", "?", "-", "--", "nan", "nil", "tbd", "missing", "not set", "undefined")
+STAND_INS = ("", "n/a", "na", "null", "none", "?", "-", "--", "nan", "nil", "tbd", "missing", "not set", "undefined")
 LANGUAGES = ("tr", "en", "de", "fr")
 
 MIN_WORDS = 10
