@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leakage, mixing, neardup, spam, tokens
+from . import language, leakage, mixing, mojibake, neardup, spam, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_totals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "extracted_documents"), table(spark, sf_dir, "tokenizer_pieces"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_lines(spark, sf_dir).select("ext_id", "line_number")
+
+
+def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_lines(table(spark, sf_dir, "extracted_documents", "ext_id", "text"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "documents", "doc_id", "text"), threshold=0.6).select("doc_id_a", "doc_id_b")
 
