@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leakage, mixing, mojibake, neardup, spam, tokens
+from . import language, leakage, mixing, mojibake, neardup, pairs, spam, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(table(spark, sf_dir, "documents", "doc_id", "text"), threshold=0.8)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(table(spark, sf_dir, "extracted_documents", "ext_id", "text", "language"))
+    return pairs.defects(table(spark, sf_dir, "instruct_seed", "pair_id", "prompt", "response", "loaded_at"), model)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_passages(spark, sf_dir).select("doc_id", "item_id")
 
