@@ -7,7 +7,8 @@ and goes with its neighbours. Runs of sentences in one language are segments; a
 
 The dictionaries are fitted on a bounded sample: at most ``sample`` labelled texts per language, chosen by hash over all
 rows, of which ``dictionary`` bytes per language are kept. Labels may be wrong: the sample is split in two halves, each
-classified by dictionaries of the other, and texts of which a tenth or more belongs to another language are dropped.
+classified by dictionaries of the other, again and again; texts that another language compresses better are dropped, in
+the end sentences too.
 """
 
 from __future__ import annotations
@@ -163,22 +164,19 @@ def fit(docs: DataFrame, sample: int = 300, dictionary: int = 96_000, text_col:
 
 def fit_rows(rows: list[tuple[str, str]], dictionary: int = 96_000) -> Languages:
     texts = {n: [[], []] for n in LANGUAGES}
-    for i, (lang, text) in enumerate(rows):
+    for i, (lang, text) in enumerate(dict.fromkeys(rows)):  # a copy in the other half would speak for itself
         texts[lang][i % 2].append([p for s in sentences(text) if not (MAYBE_CODE.search(s) and CODE.search(s)) and len(p := letters(s)) >= 12])
-    for least in (0.5, 0.8, 0.9):  # first the wrongly labelled, then the mixed
+    for last in (False, False, False, True):
         halves = [Languages({n: _content([s for t in texts[n][h] for s in t], dictionary) for n in LANGUAGES}) for h in (0, 1)]
-        texts = {n: [[t for t in texts[n][h] if _pure(t, n, halves[1 - h], least)] for h in (0, 1)] for n in LANGUAGES}
+        if last:  # what is left of other languages: segments of mixed texts
+            texts = {n: [[[s for s in t if halves[1 - h].decide(s)[0] in (n, None)] for t in texts[n][h]] for h in (0, 1)] for n in LANGUAGES}
+        else:
+            texts = {n: [[t for t in texts[n][h] if halves[1 - h].decide(" ".join(t))[2] in (n, None)] for h in (0, 1)] for n in LANGUAGES}
     found = {n: Counter(s for h in (0, 1) for t in texts[n][h] for s in t) for n in LANGUAGES}
     owner = {s: max(LANGUAGES, key=lambda n: found[n][s]) for n in LANGUAGES for s in found[n]}
     return Languages({n: _content([s for s in found[n] if owner[s] == n], dictionary) for n in LANGUAGES})
 
 
-def _pure(parts: list[str], lang: str, model: Languages, least: float) -> bool:
-    """Whether at least that share of a sample text's letters belongs to the language of its label."""
-    own = sum(len(s) for s in parts if model.decide(s)[2] in (lang, None))
-    return own >= least * sum(map(len, parts))
-
-
 def _content(parts: list[str], size: int) -> bytes:
     """Whole sentences, each once, up to ``size`` bytes."""
     out, length = [], 0

@@ -12,6 +12,7 @@ how an answer ends these decide ``truncated``; rules on the pair itself decide t
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -34,7 +35,7 @@ REFUSAL = re.compile(
     | \byerine\ getirem(?:em|iyorum) | \bgeri\ cevirmek\ (?:zorunda|durumunda) | \breddetmek\ (?:zorunda|durumunda)(?:yim|yiz) | \breddediyorum\b | \b(?:yetkim|iznim)\ yok\b
     | \b(?:gorus\ bildirmemeyi|yorum\ yapmamayi|yanitlamamayi|cevaplamamayi)\ tercih | \bkonusmam\ (?:mumkun|uygun)\ degil | \b(?:cevaplamak|yanitlamak)\ benim\ icin\ uygun
     | \btur\ (?:bir\ )?icerik(?:ler)?\ uret(?:miyorum|emem|emiyorum) | \bpaylasam(?:am|iyorum) | \bbunu\ yapam(?:am|iyorum)
-    | \b(?:can(?:'|no)?t|can\ not|won'?t|will\ not|(?:am|'m)\ (?:not\ able|unable)\ to|not\ in\ a\ position\ to)\ (?:\w+\ )?(?:help|assist|answer|fulfil|fulfill|comply|provide|discuss|comment|respond|share|do\ that|support\ (?:you|that))
+    | \b(?:i|we)(?:'m|'re)?\ (?:\w+\ ){0,2}(?:can(?:'|no)?t|can\ not|won'?t|will\ not|(?:not\ able|unable)\ to|not\ in\ a\ position\ to)\ (?:\w+\ )?(?:help|assist|answer|fulfil|fulfill|comply|provide|discuss|comment|respond|share|do\ that|support\ (?:you|that))
     | \b(?:have|need)\ to\ decline\b | \bmust\ (?:decline|refuse)\b | \bi\ (?:decline|refuse)\b | \bprefer\ not\ to\ (?:comment|answer|say|discuss|respond) | \bdon'?t\ have\ (?:the\ )?permission\b
     | \bnot\ something\ i\ (?:do|can|will)\b | \bnot\ be\ appropriate\ for\ me\b | \boutside\ what\ i\ (?:produce|do|can)\b | \bagainst\ my\ (?:guidelines|policy)\b
     | \b(?:kann|darf|mochte)\ (?:ich\ )?(?:\w+\ ){0,4}nicht\ (?:\w+\ )?(?:beantworten|helfen|antworten) | \bich\ muss\ (?:\w+\ )?ablehnen\b
@@ -57,6 +58,9 @@ SHORT = {
 }
 SHORT_SETS = {k: frozenset(v) for k, v in SHORT.items()}
 
+#: Frequent prompt words that are collected to tell a prompt's language.
+PROMPT_WORDS = 50_000
+
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.DOTALL)
 ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])(?:\s+|$)")
 ENDED = re.compile(r"[.!?…:;][\"'”“’»)\]*_`]*$|[”\"»)\]}`>]$")
@@ -135,26 +139,33 @@ def language_of(text: str, model: Languages) -> tuple[str | None, float]:
     if not votes:
         return None, 0.0
     best = max(votes, key=lambda k: (votes[k], k))
+    # the text as a whole must agree
+    whole, confidence, guess = model.decide(letters(prose(text)))
+    if total >= 5 and guess != best:
+        return None, 0.0
     return best, votes[best] / total
 
 
-def prompt_language(prompt: str, model: Languages) -> str | None:
-    words = letters(prompt).split()
-    hits = {k: sum(w in v for w in words) for k, v in SHORT_SETS.items()}
-    order = sorted(hits.values())
-    if order[-1] > order[-2]:
-        return max(hits, key=lambda k: hits[k])
-    return language_of(prompt, model)[0]
+class Prompts:
+    """Language of prompts, from the company their words keep: most answers are in the language of their prompt, so a
+    word's language shows in the languages of the answers to prompts that hold it."""
 
+    def __init__(self, counts: list[tuple[str, str, int]]):
+        words: dict[str, dict[str, int]] = {}
+        for word, language, n in counts:
+            words.setdefault(word, {})[language] = n
+        self.logs = {}
+        for word, by in words.items():
+            total = sum(by.values())
+            self.logs[word] = {k: math.log((by.get(k, 0) + 1) / (total + len(LANGUAGES))) for k in LANGUAGES}
 
-def other_language(prompt: str, response: str, model: Languages) -> bool:
-    named = fold(prompt)
-    wanted = {k for k in LANGUAGES if NAMED_RE[k].search(named)}
-    got, share = language_of(response, model)
-    if got is None or share < 0.6 or got in wanted:
-        return False
-    own = prompt_language(prompt, model)
-    return own is not None and got != own
+    def decide(self, words: list[str], model: Languages) -> str | None:
+        known = [self.logs[w] for w in words if w in self.logs]
+        if known:
+            scores = sorted(((sum(k[n] for k in known), n) for n in LANGUAGES), reverse=True)
+            if scores[0][0] - scores[1][0] >= math.log(3):
+                return scores[0][1]
+        return language_of(" ".join(words), model)[0]
 
 
 def _shortened(answers: DataFrame) -> DataFrame:
@@ -205,25 +216,44 @@ def defects(pairs: DataFrame, model: Languages) -> DataFrame:
     """
     last = pairs.where("pair_id is not null").groupBy("pair_id").agg(F.max_by(F.struct("prompt", "response"), F.struct("loaded_at", "response", "prompt")).alias("p")).select("pair_id", "p.*")
     source = model.source
-    fields = pa.schema([("pair_id", pa.int64()), ("response", pa.string()), ("defect", pa.string()), ("open", pa.bool_()), ("words", pa.int32()), ("other", pa.bool_())])
+    fields = pa.schema([("pair_id", pa.int64()), ("response", pa.string()), ("defect", pa.string()), ("open", pa.bool_()), ("words", pa.int32()), ("got", pa.string()), ("named", pa.bool_()), ("asked", pa.list_(pa.string()))])
 
     def rules(given: dict[str, list], model: Languages) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in fields.names}
         for i, p, r in zip(given["pair_id"], given["prompt"], given["response"], strict=True):
             p = p or ""
             defect = "empty" if is_empty(r) else "copy" if is_copy(p, r) else "refusal" if is_refusal(r) else None
-            opened, words, other = False, 0, False
+            opened, words, got, named, asked = False, 0, None, False, []
             if defect is None:
                 opened, words = ends_open(r)
-                other = other_language(p, r, model)
-            for n, v in zip(fields.names, (i, r, defect, opened, words, other), strict=True):
+                got, share = language_of(r, model)
+                got = got if share >= 0.6 else None
+                named = got is not None and bool(NAMED_RE[got].search(fold(p)))
+                asked = sorted(set(letters(p).split()))
+            for n, v in zip(fields.names, (i, r, defect, opened, words, got, named, asked), strict=True):
                 out[n].append(v)
         return out
 
-    judged = cut_lineage(arrow_map(last.select(F.col("pair_id").cast("long").alias("pair_id"), "prompt", "response"), rules, "pair_id long, response string, defect string, open boolean, words int, other boolean", fields, lambda: Languages(source)))
+    schema = "pair_id long, response string, defect string, open boolean, words int, got string, named boolean, asked array<string>"
+    judged = cut_lineage(arrow_map(last.select(F.col("pair_id").cast("long").alias("pair_id"), "prompt", "response"), rules, schema, fields, lambda: Languages(source)))
     rest = judged.where("defect is null")
+
+    # words of prompts that occur often enough to tell; the most frequent PROMPT_WORDS of them
+    company = rest.where("got is not null and not named").select(F.explode("asked").alias("word"), "got").groupBy("word", "got").agg(F.count("*").alias("n"))
+    often = company.groupBy("word").agg(F.sum("n").alias("total")).where("total >= 10").orderBy(F.desc("total"), "word").limit(PROMPT_WORDS)
+    counts = [(r.word, r.got, r.n) for r in company.join(often, "word").select("word", "got", "n").collect()]  # at most PROMPT_WORDS times four
+    other_fields = pa.schema([("pair_id", pa.int64()), ("other", pa.bool_())])
+
+    def languages(given: dict[str, list], state: tuple) -> dict[str, list]:
+        prompts, model = state
+        own = [prompts.decide(a, model) for a in given["asked"]]
+        return {"pair_id": given["pair_id"], "other": [o is not None and o != g for o, g in zip(own, given["got"], strict=True)]}
+
+    other = arrow_map(rest.where("got is not null and not named").select("pair_id", "got", "asked"), languages, "pair_id long, other boolean", other_fields, lambda: (Prompts(counts), Languages(source))).where("other")
+
     limits = _limits(rest)
     at_limit = F.length("response").isin(limits) if limits else F.lit(False)
     cut = F.col("open") & ((F.col("words") >= 4) | F.coalesce("longer", F.lit(False)) & (F.col("words") >= 2) | at_limit & (F.col("words") >= 2))
-    kinds = rest.join(_shortened(rest), "response", "left").select("pair_id", F.when(cut, "truncated").when(F.col("other"), "wrong_language").alias("defect")).where("defect is not null")
-    return judged.where("defect is not null").select("pair_id", "defect").union(kinds)
+    shortened = rest.where("open").join(_shortened(rest), "response", "left").where(cut).select("pair_id", F.lit("truncated").alias("defect"))
+    foreign = other.join(shortened, "pair_id", "left_anti").select("pair_id", F.lit("wrong_language").alias("defect"))
+    return judged.where("defect is not null").select("pair_id", "defect").union(shortened).union(foreign)
