@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leakage, mixing, mojibake, neardup, pairs, spam, tokens
+from . import language, leakage, mixing, mojibake, neardup, pairs, pii, spam, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "instruct_seed", "pair_id", "prompt", "response", "loaded_at"), model)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_items(spark, sf_dir).select("ext_id", "start_char", "pii_type")
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "extracted_documents", "ext_id", "text"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "extracted_documents", "ext_id", "text"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_passages(spark, sf_dir).select("doc_id", "item_id")
 
