@@ -21,8 +21,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return {name: f for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import dedup_queries, select_queries, stream_queries, text_queries  # noqa: F401
