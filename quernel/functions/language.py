@@ -22,55 +22,68 @@ D_EN = ("the", "and", "for", "that", "with", "this", "from", "are", "language")
 
 
 def _chars(c: Column, chars: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{chars}]", ""))
+    return F.length(F.regexp_replace(c, f"[^{chars}]+", ""))
 
 
-def _hits(words: Column, wanted: tuple[str, ...]) -> Column:
-    return F.size(F.filter(words, lambda w: w.isin(*wanted)))
+def _lower(c: Column) -> Column:
+    """Case-folded text in which a dotted capital I, which no listed word holds, stays one letter."""
+    return casefold(F.replace(c, F.lit("İ"), F.lit("ɨ")))
 
 
-def _words(c: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), casefold)
+def _pattern(wanted: tuple[str, ...], letters: str) -> str:
+    return f"(?<![{letters}])(?:{'|'.join(wanted)})(?![{letters}])"
+
+
+def _hits(lowered: Column, wanted: tuple[str, ...], letters: str) -> Column:
+    """Occurrences of whole words; one regular expression instead of a loop over words."""
+    return F.regexp_count(lowered, F.lit(_pattern(wanted, letters)))
 
 
 def _winner(tr: Column, en: Column) -> Column:
     return F.when(tr > en, "tr").when(en > tr, "en")
 
 
+_A_LETTERS, _LETTERS, _WORD = "A-Za-zÇĞİÖŞÜçğıöşüɨ", r"\p{L}", r"\p{L}\p{N}_"
+
+
 def language_a(c: Column) -> Column:
     """Two points per Turkish letter (plain capital I counts) and one per known word."""
-    words = _words(c, "[A-Za-zÇĞİÖŞÜçğıöşü]+")
-    tr = 2 * _chars(c, A_CHARS) + _hits(words, A_TR)
-    en = _hits(words, A_EN) + F.when((_chars(c, "A-Za-z") > 0) & (_chars(c, A_CHARS) == 0), 1).otherwise(0)
-    return F.when(F.size(words) == 0, "unknown").otherwise(F.coalesce(_winner(tr, en), F.lit("unknown")))
+
+    def judge(s: Column) -> Column:
+        en = s["en"] + F.when((s["ascii"] > 0) & (s["special"] == 0), 1).otherwise(0)
+        return F.coalesce(_winner(2 * s["special"] + s["tr"], en), F.lit("unknown"))
+
+    low = _lower(c)
+    scores = F.struct(_chars(c, A_CHARS).alias("special"), _chars(c, "A-Za-z").alias("ascii"), _hits(low, A_TR, _A_LETTERS).alias("tr"), _hits(low, A_EN, _A_LETTERS).alias("en"))
+    return F.when(~c.rlike("[A-Za-zÇĞİÖŞÜçğıöşü]"), "unknown").otherwise(let(scores, judge))
 
 
 def language_b(c: Column) -> Column:
     """struct(label, confidence): two points per stop word, one per Turkish letter up to twenty."""
 
-    def decide(words: Column) -> Column:
-        scores = F.struct((2 * _hits(words, B_TR) + F.least(F.lit(20), _chars(c, B_CHARS))).alias("tr"), (2 * _hits(words, B_EN)).alias("en"), F.size(words).alias("n"))
-        return let(scores, judge)
-
     def judge(s: Column) -> Column:
-        plain = _chars(c, "A-Za-z") / _chars(c, r"\p{L}") >= 0.97
         none = (s["tr"] == 0) & (s["en"] == 0)
-        label = F.when(s["n"] == 0, "unknown").when(none, F.when(plain, "en").otherwise("unknown")).otherwise(F.coalesce(_winner(s["tr"], s["en"]), F.lit("unknown")))
-        confidence = F.when(s["n"] == 0, 0.0).when(none, F.when(plain, 0.55).otherwise(0.0)).when(s["tr"] == s["en"], 0.5).otherwise(F.greatest(s["tr"], s["en"]) / (s["tr"] + s["en"]))
+        plain = _chars(c, "A-Za-z") / _chars(c, _LETTERS) >= 0.97
+        label = F.when(none, F.when(plain, "en").otherwise("unknown")).otherwise(F.coalesce(_winner(s["tr"], s["en"]), F.lit("unknown")))
+        confidence = F.when(none, F.when(plain, 0.55).otherwise(0.0)).when(s["tr"] == s["en"], 0.5).otherwise(F.greatest(s["tr"], s["en"]) / (s["tr"] + s["en"]))
         return F.struct(label.alias("label"), confidence.alias("confidence"))
 
-    return let(_words(c, r"\p{L}+"), decide)
+    low = _lower(c)
+    scores = F.struct((2 * _hits(low, B_TR, _LETTERS) + F.least(F.lit(20), _chars(c, B_CHARS))).alias("tr"), (2 * _hits(low, B_EN, _LETTERS)).alias("en"))
+    blank = F.struct(F.lit("unknown").alias("label"), F.lit(0.0).alias("confidence"))
+    return F.when(~c.rlike(r"\p{L}"), blank).otherwise(let(scores, judge))
 
 
 def language_c(c: Column) -> Column:
-    words = _words(c, r"[\p{L}\p{N}_]+")
-    tr = 2 * _chars(c, A_CHARS) + _hits(words, C_TR)
-    en = _hits(words, C_EN)
+    low = _lower(c)
+    tr, en = 2 * _chars(c, A_CHARS) + _hits(low, C_TR, _WORD), _hits(low, C_EN, _WORD)
+    winner = let(F.struct(tr.alias("tr"), en.alias("en")), lambda s: _winner(s["tr"], s["en"]))
     blank = ~c.rlike(r"[^\x00-\x20]")
-    return F.when(blank, "unknown").otherwise(F.coalesce(_winner(tr, en), F.when(~c.rlike(r"[^\x00-\x7F]"), "en").otherwise("unknown")))
+    return F.when(blank, "unknown").otherwise(F.coalesce(winner, F.when(~c.rlike(r"[^\x00-\x7F]"), "en").otherwise("unknown")))
 
 
 def language_d(c: Column, fallback: Column) -> Column:
     """Turkish letters or two known words decide; else the language the source claims."""
-    words = F.array_distinct(_words(c, r"[\p{L}\p{N}_]+"))
-    return F.when(fallback == "code", "code").when((_chars(c, D_CHARS) > 0) | (_hits(words, D_TR) >= 2), "tr").when(_hits(words, D_EN) >= 2, "en").otherwise(fallback)
+    low = _lower(c)
+    different = lambda wanted: F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(_pattern(wanted, _WORD)), F.lit(0))))
+    return F.when(fallback == "code", "code").when((_chars(c, D_CHARS) > 0) | (different(D_TR) >= 2), "tr").when(different(D_EN) >= 2, "en").otherwise(fallback)

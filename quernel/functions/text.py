@@ -7,14 +7,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space of the Unicode standard, as a class both Java and RE2 read.
 SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same characters one by one.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Line boundaries beyond the line feed.
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -54,12 +57,12 @@ def stripped_lines(c: Column) -> Column:
 
 
 def squeeze_ends(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def count_class(c: Column, keep: str) -> Column:
     """How many characters of ``c`` belong to a character class given as its complement-ready body, e.g. ``\\p{L}``."""
-    return F.length(F.regexp_replace(c, f"[^{keep}]", ""))
+    return F.length(F.regexp_replace(c, f"[^{keep}]+", ""))
 
 
 def words(c: Column, pattern: str = r"[\p{L}\p{N}_]+") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.language import language_b, language_c, language_d
-from ..functions.text import SPACE, casefold, content_hash, count_class, first_reason, let, lines, nfc, squeeze_ends, stripped_lines
+from ..functions.text import LINE_BREAK, SPACE, casefold, content_hash, count_class, first_reason, let, nfc, squeeze_ends, stripped_lines
 
 # Fixed values of the filters.
 MOJIBAKE_MARKERS = ("�", "Ã", "Â", "Ä", "Å", "â€", "ï¿½")
@@ -44,8 +44,8 @@ def _any(c: Column, terms: tuple[str, ...]) -> Column:
 
 def normalized(c: Column) -> Column:
     """NFC, unified line ends, lines without trailing space, at most one blank line in a row, trimmed."""
-    unified = F.regexp_replace(nfc(c), r"\r\n?", "\n")
-    return F.regexp_replace(squeeze_ends(F.array_join(F.transform(lines(unified), lambda x: F.regexp_replace(x, f"{SPACE}+$", "")), "\n")), r"\n{3,}", "\n\n")
+    unified = F.regexp_replace(nfc(c), LINE_BREAK, "\n")
+    return F.regexp_replace(squeeze_ends(F.regexp_replace(unified, r"[\t \x1F\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+(?=\n)", "")), r"\n{3,}", "\n\n")
 
 
 def material_pii(c: Column) -> Column:
@@ -53,7 +53,7 @@ def material_pii(c: Column) -> Column:
     domains = F.transform(F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0)), lambda e: F.lower(F.substring_index(e, "@", -1)))
     folded = casefold(c)
     return first_reason(
-        ("email", F.exists(domains, lambda d: ~d.isin(*EXEMPT_DOMAINS))),
+        ("email", F.contains(c, F.lit("@")) & F.exists(domains, lambda d: ~d.isin(*EXEMPT_DOMAINS))),
         ("turkish_identity_number", c.rlike(IDENTITY_NUMBER) & _any(folded, IDENTITY_CUES)),
         ("phone", c.rlike(PHONE) & _any(folded, PHONE_CUES)),
         ("ipv4", c.rlike(IPV4) & _any(folded, IP_CUES)),
@@ -70,7 +70,7 @@ def quality_reason(text: Column, expected: Column, low: int = 120, high: int = 1
     )
 
     def late(c: Column) -> tuple[Column, Column, Column]:
-        solid = F.regexp_replace(c, SPACE, "")
+        solid = F.regexp_replace(c, SPACE + "+", "")
         shares = let(solid, lambda s: F.struct((count_class(s, r"\p{P}") / F.greatest(F.length(s), F.lit(1))).alias("p"), (count_class(s, r"\p{L}\p{N}") / F.greatest(F.length(s), F.lit(1))).alias("i")))
         repeated = let(stripped_lines(c), lambda k: (F.size(k) >= 5) & (1 - F.size(F.array_distinct(k)) / F.size(k) > 0.30))
         return first_reason(
