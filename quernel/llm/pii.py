@@ -63,6 +63,7 @@ NEAR = 120
 #: Disclosure, in bits, from which a term counts; occurrences and different companions it needs.
 THRESHOLD, LEAST, COMPANIONS = 2.0, 3, 3
 MAX_TERMS = 2_000_000
+MAX_RATE = 0.1
 
 
 def _emails(text: str) -> list[tuple[int, int, str]]:
@@ -253,7 +254,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> Disclosure:
     rows = docs.select(text_col).mapInArrow(run, "kind string, term string, other string, n long, near long, inside long").groupBy("kind", "term", "other").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.sum("inside").alias("inside"))
     rows = cut_lineage(rows)
     base = rows.where("kind = 'words'").agg(F.sum("n"), F.sum("near")).first()
-    rate = max((base[1] or 0) / max(base[0] or 0, 1), 1e-4)
+    # how often any capitalised word stands near an entity; a text full of entities must not hide what they share
+    rate = min(max((base[1] or 0) / max(base[0] or 0, 1), 1e-4), MAX_RATE)
     bits = F.log2((F.col("near") / F.col("n")) / F.lit(rate))
     pairs = rows.where("kind = 'pair'")
     terms = pairs.groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.sum("inside").alias("inside"), F.count("*").alias("companions"))

@@ -97,5 +97,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+_WORDS = r"list_transform(regexp_extract_all(nfc_normalize(text), '[\p{L}\p{N}]+'), lambda w: lower(replace(w, 'İ', 'i̇')))"
+_SETS = f"""SELECT doc_id, len(s) AS n, unnest(s) AS x FROM (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
+FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        # by definition, without the method: shared shingles of every pair
+        "p4_found": f"""WITH s AS ({_SETS}) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.6""",
+    }

@@ -19,7 +19,7 @@ SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”“’»)\]]*\s+|\n+")
 
 #: A line of program code; MAYBE_CODE is a cheap necessary condition for most of them.
 CODE = re.compile(r"^\s*(?:def |for |while |if |else\b|elif |return |yield |with |import |from \w+ import|print\(|class |@\w|[\w.]+ ?[-+*/]?= ?\S|[{}();]+\s*$)|\w\(.*\):?\s*$")
-MAYBE_CODE = re.compile(r"[=(@:{}]")
+MAYBE_CODE = re.compile(r"[=(@:{}]|^\s*(?:return|yield|import|else|try|pass|break|continue)\b")
 
 _MARKS = {c: None for c in range(0x300, 0x370)}
 
