@@ -24,6 +24,14 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return running(df, order, F.lit(1).cast("long"), name)
 
 
+def group_rank(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with ``name``: position within its group, from 0. The rows are ordered globally by group and order, so a
+    large group is spread over many tasks; its own first position is taken off."""
+    ranked = global_rank(df, [F.col(group), *order], "_g")
+    first = ranked.groupBy(group).agg(F.min("_g").alias("_f")).withColumnRenamed(group, "_k")
+    return ranked.join(first, F.col(group).eqNullSafe(F.col("_k"))).withColumn(name, F.col("_g") - F.col("_f")).drop("_g", "_f", "_k")
+
+
 def rank_split(df: DataFrame, key: Column, shares: tuple[int, int] = (98, 1)) -> DataFrame:
     """``df`` with ``split``: train, validation and eval by rank of ``key`` (percent of the rows, rounded down)."""
     ranked = global_rank(df.withColumn("_key", key), [F.col("_key")], "_r")

@@ -228,12 +228,13 @@ def id_set_difference(spark, d):
     return a.subtract(b).withColumn("only_in", F.lit("documents")).union(b.subtract(a).withColumn("only_in", F.lit("extracted")))
 
 
-@query(f"SELECT count(*) AS groups, sha256(string_agg(h, ',' ORDER BY h)) AS manifest FROM (SELECT sha256(string_agg(doc_id::VARCHAR || ':' || sha256(text), ',' ORDER BY doc_id)) AS h, count(*) FROM documents GROUP BY {S.hash_bucket(_ID, 256)})")
+@query(f"SELECT count(*) AS groups, sha256(string_agg(h, ',' ORDER BY h)) AS manifest FROM (SELECT sum(('0x' || substr(sha256(doc_id::VARCHAR || ':' || text), 1, 13))::HUGEINT)::VARCHAR AS h FROM documents GROUP BY {S.hash_bucket(_ID, 256)})")
 def corpus_manifest(spark, d):
-    """Content hash of the corpus in two levels: of 256 groups by id, then of the groups."""
-    per = docs(spark, d, "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("h"), T.hash_bucket(F.col("doc_id").cast("string"), 256).alias("g"))
-    groups = per.groupBy("g").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["h"])), ","), 256).alias("h"))
-    return groups.agg(F.count("*").alias("groups"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("manifest"))
+    """Content hash of the corpus in two levels: sums of hashes in 256 groups by id, then one hash of the sums."""
+    h = F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text")), 256)
+    g = T.hash_bucket(F.col("doc_id").cast("string"), 256)
+    groups = docs(spark, d, "doc_id", "text").groupBy(g.alias("g")).agg(F.sum(F.conv(F.substring(h, 1, 13), 16, 10).cast("decimal(20,0)")).cast("string").alias("h"))
+    return groups.agg(F.count("*").alias("groups"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("manifest"))  # 256 sums
 
 
 @query("SELECT event_type, round(regr_slope(value, epoch(ts)), 9) AS slope, count(*) AS n FROM events GROUP BY event_type")
