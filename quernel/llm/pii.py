@@ -58,10 +58,15 @@ INSTITUTIONS = re.compile(rf"[ ’'-]{{1,2}}(?:Vakf[ıi]|Köprüsü|Koprusu|Okul
 PAIR = re.compile(rf"(?=(?<![\w’'@.-])({_CAP})(,)? (?:([{_UP}]\.) )?({_CAP}))")
 _START = re.compile(r"(?:^|[.!?…\n\r“„«])\s*$")
 
+#: Sentence border between words.
+_BREAK = re.compile(rf"\n|[.!?…]\s+(?=[{_UP}])")
+
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 NEAR = 120
 #: Disclosure, in bits, from which a term counts; occurrences and different companions it needs.
 THRESHOLD, LEAST, COMPANIONS = 2.0, 3, 3
+#: Shares of all pairs near entities, and of all words around identity numbers, that a term needs besides.
+NAME_SHARE, CUE_SHARE = 0.0002, 0.002
 MAX_TERMS = 2_000_000
 MAX_RATE = 0.1
 
@@ -103,8 +108,10 @@ def _phone(form: str, before: str, after: str) -> bool:
 
 def context(text: str, start: int, end: int) -> list[str]:
     """Folded words around a span in its sentence: two before, two after."""
-    left = [fold(w) for w in re.findall(r"[^\W\d_]+(?:\.[^\W\d_]+)*", text[max(0, start - 40) : start].rsplit("\n", 1)[-1])[-2:]]
-    right = [fold(w) for w in re.findall(r"[^\W\d_]+", text[end : end + 40].split("\n", 1)[0])[:2]]
+    before = _BREAK.split(text[max(0, start - 40) : start])[-1]
+    after = _BREAK.split(text[end : end + 40], maxsplit=1)[0]
+    left = [fold(w) for w in re.findall(r"[^\W\d_]+(?:\.[^\W\d_]+)*", before)[-2:]]
+    right = [fold(w) for w in re.findall(r"[^\W\d_]+", after)[:2]]
     return ["<" + w for w in left] + [">" + w for w in right]
 
 
@@ -260,16 +267,19 @@ def learn(docs: DataFrame, text_col: str = "text") -> Disclosure:
     pairs = rows.where("kind = 'pair'")
     terms = pairs.groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.sum("inside").alias("inside"), F.count("*").alias("companions"))
     # words that mostly open sentences are no names
-    likely = terms.where((F.col("n") >= LEAST) & (F.col("companions") >= COMPANIONS) & (F.col("inside") >= 0.3 * F.col("n")) & (F.col("near") > 0) & (bits >= THRESHOLD))
+    held = terms.agg(F.sum("near")).first()[0] or 0
+    likely = terms.where((F.col("n") >= max(LEAST, NAME_SHARE * held)) & (F.col("companions") >= COMPANIONS) & (F.col("inside") >= 0.3 * F.col("n")) & (F.col("near") > 0) & (bits >= THRESHOLD))
     second = pairs.join(likely.select("term"), "term", "left_semi").groupBy(F.col("other").alias("term")).agg(F.count("*").alias("firsts"), F.sum("n").alias("after"))
     # what follows several given names is a surname
     given = likely.join(second, "term", "left").where(F.coalesce("firsts", F.lit(0)) < 0.5 * F.col("companions"))
     names = _collect(given.select("term"))
-    surnames = _collect(second.where("firsts >= 2").select("term")) - names
+    # and mostly follows them
+    anywhere = pairs.groupBy(F.col("other").alias("term")).agg(F.sum("n").alias("every"))
+    surnames = _collect(second.where("firsts >= 2").join(anywhere, "term").where("after >= 0.5 * every").select("term")) - names
     cue = rows.where("kind = 'cue'").groupBy("term").agg(F.sum("n").alias("plain"), F.sum("near").alias("sure"))
     sums = cue.agg(F.sum("plain"), F.sum("sure")).first()
     ratio = F.log2(((F.col("sure") + 0.5) / F.lit((sums[1] or 0) + 1.0)) / ((F.col("plain") + 0.5) / F.lit((sums[0] or 0) + 1.0)))
-    cues = _collect(cue.where(~F.substring("term", 2, 100).isin(*FUNCTION_WORDS)).where((F.col("sure") >= LEAST) & (ratio >= -THRESHOLD) & ~F.substring("term", 2, 100).isin(*OTHER_NUMBERS, "no", "nummer", "number", "numero", "dun")).select("term"))
+    cues = _collect(cue.where(~F.substring("term", 2, 100).isin(*FUNCTION_WORDS)).where((F.col("sure") >= max(LEAST, CUE_SHARE * (sums[1] or 0))) & (ratio >= -THRESHOLD) & ~F.substring("term", 2, 100).isin(*OTHER_NUMBERS, "no", "nummer", "number", "numero", "dun")).select("term"))
     return Disclosure(names, surnames, frozenset(c for c in cues if c[1:] not in names))
 
 
