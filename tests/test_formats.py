@@ -148,3 +148,43 @@ def test_token_shards(spark, tmp_path):
     back = spark.createDataFrame(bounds)
     assert sinks.shard_faults(spark, path, back).count() == 0
     assert sinks.shard_faults(spark, path, back.where("doc_id != 0")).count() == 1
+
+
+def test_nested(spark):
+    from quernel.functions import nested
+
+    assert one(spark, '{"b": ["u\\u0308\\u0000"], "a": 1}', nested.normalized_json) == '{"a": 1, "b": ["ü"]}' and one(spark, "{", nested.normalized_json) is None
+    assert one(spark, '{"prompt": "p", "x": [{"text": ["t", {"y": "no"}]}], "z": "no"}', nested.strings_under) == ["p", "t"]
+    rows = [(1, i, p) for i, p in enumerate(["a", "<0xC3>", "<0xBC>", "b", "<0xFF>"])]
+    got = nested.byte_runs(spark.createDataFrame(rows, "id long, pos int, piece string"), ["id"]).orderBy("start").collect()
+    assert [(r.start, r.length, r.text) for r in got] == [(1, 2, "ü"), (4, 1, None)]
+
+
+def test_joins(spark, tmp_path):
+    from quernel.operators import joins
+
+    a, b = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "i long, x string"), spark.createDataFrame([(10, "p"), (20, "q")], "i long, y string")
+    got = joins.zip_by_position(a, b, [F.col("i")], [F.col("i")]).orderBy("position").collect()
+    assert [(r.l.x, r.r.y if r.r else None) for r in got] == [("a", "p"), ("b", "q"), ("c", None)]
+    e, f = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "f string, h string"), spark.createDataFrame([("a", "1"), ("b", "x"), ("d", "4")], "f string, h string")
+    assert {r.f: r.fault for r in joins.manifest_faults(e, f, "f", "h").collect()} == {"b": "different", "c": "missing", "d": "unexpected"}
+    first = joins.reused(a, "t", {"v": 1}, str(tmp_path))
+    assert joins.reused(a.limit(0), "t", {"v": 1}, str(tmp_path)).count() == first.count() == 3 and joins.reused(a.limit(0), "t", {"v": 2}, str(tmp_path)).count() == 0
+
+
+def test_inventory(spark):
+    from quernel.plans.inventory import inventory, report
+
+    base = "the and of to in is for that with as on by from or an this are be it was can which at not has have "
+    other = " ".join(f"the item{i} of that" for i in range(120)) + " "
+    para = "this is the long paragraph that stands in two of the documents and that must be cut from the later one of them"
+    docs = [(1, base * 2, "en"), (2, base.upper() * 2, "en"), (3, "short", "en"), (4, None, "en"), (5, other + "\n\n" + para, "en"), (6, other + "more of it\n\n" + para, "en"), (7, para + " and of the item", "en"), (8, "ve bir bu için " * 20, "tr")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(para + " and of  the ITEM",)], "text string")
+    got = {r.doc_id: r for r in inventory(df, items).collect()}
+    assert {i: r.reason for i, r in got.items()} == {1: "accepted", 2: "post_dedup_too_short", 3: "too_short", 4: "too_short", 5: "accepted", 6: "near_duplicate", 7: "too_short", 8: "accepted"} | {7: got[7].reason}
+    assert got[2].removed_paragraphs == 1 and got[6].representative_id == 5 and got[6].removed_paragraphs == 1 and got[7].reason in ("evaluation_contamination", "too_short")
+    text = report(df.groupBy("lang").count(), "By language")
+    assert text.startswith("# By language\n\n| lang | count |")
+    with pytest.raises(ValueError):
+        report(df, "x", 2)
