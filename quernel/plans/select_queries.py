@@ -182,12 +182,13 @@ def pass_rate_rollup(spark, d):
     return q.rollup("run_id", "source_id").agg(F.count("*").alias("n"), F.round(100.0 * F.avg(F.when(F.col("reason").isNull(), 1).otherwise(0)), 6).alias("pass_percent"))
 
 
-@query("""SELECT q.source_id, coalesce(d.category, 'missing') AS category, count(*) AS n, round(avg(language_confidence), 6) AS confidence FROM (SELECT DISTINCT ext_id, run_id, source_id, language_confidence FROM quality_results) q
+@query("""SELECT q.source_id, coalesce(d.category, 'missing') AS category, count(*) AS n, sum(round(language_confidence * 10000)::BIGINT)::BIGINT AS confidence FROM (SELECT DISTINCT ext_id, run_id, source_id, language_confidence FROM quality_results) q
 LEFT JOIN (SELECT DISTINCT ext_id, category FROM documents WHERE ext_id IS NOT NULL) d ON q.ext_id = d.ext_id GROUP BY ALL""")
 def label_join_quality(spark, d):
+    """Detector results by source and category of the corpus; ``confidence`` is a sum in ten-thousandths, exact."""
     q = table(spark, d, "quality_results", "ext_id", "run_id", "source_id", "language_confidence").distinct()
     c = docs(spark, d, "ext_id", "category").where("ext_id is not null").distinct()
-    return q.join(c, "ext_id", "left").groupBy("source_id", F.coalesce("category", F.lit("missing")).alias("category")).agg(F.count("*").alias("n"), F.round(F.avg("language_confidence"), 6).alias("confidence"))
+    return q.join(c, "ext_id", "left").groupBy("source_id", F.coalesce("category", F.lit("missing")).alias("category")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("language_confidence") * 10000).cast("long")).alias("confidence"))
 
 
 @query(f"""SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum(len({S.lines('text')}))::BIGINT AS n_lines, count(*) FILTER (length(text) < 500) AS short, count(*) FILTER (length(text) > 2000) AS long, count(*) FILTER (nfc_normalize(text) != text) AS not_nfc, count(*) FILTER (title IS NULL) AS no_title FROM documents GROUP BY source""")
