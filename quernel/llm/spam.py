@@ -110,7 +110,7 @@ class Page:
             return "stock"
         if self.recurrence >= 0.55 and (self.function < 0.1 and (self.top >= 0.05 or self.lag >= 0.1) or self.density >= 0.15 and self.top >= 0.08):
             return "repeated"
-        if self.function < 0.1 and self.ended < 0.5:
+        if self.function < 0.1 and self.ended < 0.2:  # prose may lack full stops in part
             return "list"
         return None
 
