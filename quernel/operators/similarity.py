@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles, words
-from ..session import cut_lineage
+from ..session import cut_lineage, small
 
 TOKENS = "[A-Za-zÇĞİÖŞÜçğıöşü0-9]+"
 
@@ -88,5 +88,41 @@ def ngram_overlap(docs: DataFrame, items: DataFrame, n: int = 8, doc_id: str = "
         w = words(F.coalesce(F.col("text"), F.lit("")))
         return df.where(F.size(w) >= n).select(F.col(key), F.explode(F.array_distinct(shingles(w, n))).alias("run")).withColumn("h", F.xxhash64("run"))
 
-    d, i = runs(docs, doc_id), runs(items, item_id)
+    d, i = runs(docs, doc_id), small(runs(items, item_id), 500_000)  # else every run of every text is shuffled
     return d.join(i, ["h", "run"]).groupBy(item_id, doc_id).agg(F.count("*").alias("hits"))
+
+
+def containing(docs: DataFrame, snippets: DataFrame, doc_id: str = "doc_id", text_col: str = "text", block: int = 200_000) -> DataFrame:
+    """(snippet, id): literal snippets that texts contain. Snippets are read in blocks; each block becomes one automaton
+    that every text is run through once, so the work is linear in the texts and in what is found. Null and empty
+    snippets are left out; any number of snippets is fine."""
+    fields = pa.schema([("snippet", pa.string()), ("id", pa.int64())])
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+
+    def search(words: list[str]) -> DataFrame:
+        def run(batches):
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for w in words:
+                machine.add_word(w, w)
+            machine.make_automaton()
+            for b in batches:
+                found, ids = [], []
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    own = {w for _, w in machine.iter(t)}
+                    found += own
+                    ids += [i] * len(own)
+                yield pa.RecordBatch.from_pydict({"snippet": found, "id": ids}, schema=fields)
+
+        return texts.mapInArrow(run, "snippet string, id long")
+
+    out, words = None, []
+    for row in snippets.select("snippet").where("snippet is not null and snippet != ''").distinct().toLocalIterator():
+        words.append(row.snippet)
+        if len(words) >= block:
+            part = search(words)
+            out, words = part if out is None else out.union(part), []
+    if words:
+        out = search(words) if out is None else out.union(search(words))
+    return out if out is not None else texts.limit(0).select(F.col("text").alias("snippet"), "id")

@@ -119,18 +119,12 @@ _SNIP = "SELECT item_id, 'text' AS field, text AS snippet FROM eval_items UNION
 
 @query(f"SELECT item_id, field, snippet, count(*) AS docs FROM ({_SNIP}) s JOIN documents d ON contains(d.text, s.snippet) WHERE (field = 'prompt' AND length(snippet) >= 1) OR length(snippet) >= 12 GROUP BY ALL")
 def leakage_report(spark, d):
-    """Literal containment by field. The snippets, a bounded evaluation table, are grouped by their first eight
-    characters; texts look their substrings up by an equi-join and the whole snippet is verified."""
+    """Literal containment by field of evaluation items in the corpus."""
     e = table(spark, d, "eval_items", "item_id", "prompt", "text", "expected_keywords")
     snips = e.select("item_id", F.lit("text").alias("field"), F.col("text").alias("snippet")).union(e.select("item_id", F.lit("prompt"), "prompt")).union(e.select("item_id", F.lit("keyword"), F.explode("expected_keywords"))).distinct()
     snips = snips.where(((F.col("field") == "prompt") & (F.length("snippet") >= 1)) | (F.length("snippet") >= 12))
-    head = 8
-    keyed = snips.withColumn("key", F.substring("snippet", 1, head))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - head + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(head))))
-    heads = keyed.where(F.length("snippet") >= head).select("key").distinct()
-    hit = docs(spark, d, "doc_id", "text").select("doc_id", "text", F.explode(grams).alias("key")).join(heads, "key", "left_semi")
-    long = hit.join(keyed.where(F.length("snippet") >= head), "key").where(F.contains("text", "snippet")).select("item_id", "field", "snippet", "doc_id")
-    return long.groupBy("item_id", "field", "snippet").agg(F.count_distinct("doc_id").alias("docs"))
+    found = similarity.containing(docs(spark, d, "doc_id", "text"), snips).distinct().groupBy("snippet").agg(F.count("*").alias("docs"))
+    return snips.join(found, "snippet").select("item_id", "field", "snippet", "docs")
 
 
 @query("""SELECT item_id, len(expected_keywords) AS expected, len(list_filter(expected_keywords, lambda k: contains(lower(text), lower(k)))) AS matched, len(list_filter(expected_keywords, lambda k: NOT contains(lower(text), lower(k)))) = 0 AS passed FROM eval_items""")

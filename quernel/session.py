@@ -50,3 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """One parquet table of a folder, pruned to ``columns`` when given."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` written once and, if it has at most ``rows`` rows, marked for broadcast; larger it joins by shuffle."""
+    from pyspark.sql import functions as F
+
+    held = cut_lineage(df)
+    return F.broadcast(held) if held.limit(rows + 1).count() <= rows else held

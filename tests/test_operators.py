@@ -168,3 +168,11 @@ def test_stream_resumes(spark, tmp_path):
     assert deduplicated_stream(spark, str(data), root=root).count() == 2
     spark.createDataFrame([(4, "b"), (5, "c")], "doc_id long, text string").write.mode("append").parquet(str(data / "documents.parquet"))
     assert deduplicated_stream(spark, str(data), root=root).count() == 3
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "abcd xyz"), (2, "bcd"), (3, None), (4, "")], "doc_id long, text string")
+    snippets = spark.createDataFrame([("bcd",), ("xyz",), ("no",), ("",), (None,), ("bcd",)], "snippet string")
+    for block in (1, 100):
+        assert {tuple(r) for r in similarity.containing(docs, snippets, block=block).collect()} == {("bcd", 1), ("bcd", 2), ("xyz", 1)}
+    assert similarity.containing(docs, snippets.limit(0)).count() == 0
