@@ -30,13 +30,12 @@ def _lower(c: Column) -> Column:
     return casefold(F.replace(c, F.lit("İ"), F.lit("ɨ")))
 
 
-def _pattern(wanted: tuple[str, ...], letters: str) -> str:
-    return f"(?<![{letters}])(?:{'|'.join(wanted)})(?![{letters}])"
+def _split(lowered: Column, letters: str) -> Column:
+    return F.split(lowered, f"[^{letters}]+")
 
 
-def _hits(lowered: Column, wanted: tuple[str, ...], letters: str) -> Column:
-    """Occurrences of whole words; one regular expression instead of a loop over words."""
-    return F.regexp_count(lowered, F.lit(_pattern(wanted, letters)))
+def _hits(words: Column, wanted: tuple[str, ...]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*wanted)))
 
 
 def _winner(tr: Column, en: Column) -> Column:
@@ -53,8 +52,7 @@ def language_a(c: Column) -> Column:
         en = s["en"] + F.when((s["ascii"] > 0) & (s["special"] == 0), 1).otherwise(0)
         return F.coalesce(_winner(2 * s["special"] + s["tr"], en), F.lit("unknown"))
 
-    low = _lower(c)
-    scores = F.struct(_chars(c, A_CHARS).alias("special"), _chars(c, "A-Za-z").alias("ascii"), _hits(low, A_TR, _A_LETTERS).alias("tr"), _hits(low, A_EN, _A_LETTERS).alias("en"))
+    scores = let(_split(_lower(c), _A_LETTERS), lambda w: F.struct(_chars(c, A_CHARS).alias("special"), _chars(c, "A-Za-z").alias("ascii"), _hits(w, A_TR).alias("tr"), _hits(w, A_EN).alias("en")))
     return F.when(~c.rlike("[A-Za-zÇĞİÖŞÜçğıöşü]"), "unknown").otherwise(let(scores, judge))
 
 
@@ -68,22 +66,20 @@ def language_b(c: Column) -> Column:
         confidence = F.when(none, F.when(plain, 0.55).otherwise(0.0)).when(s["tr"] == s["en"], 0.5).otherwise(F.greatest(s["tr"], s["en"]) / (s["tr"] + s["en"]))
         return F.struct(label.alias("label"), confidence.alias("confidence"))
 
-    low = _lower(c)
-    scores = F.struct((2 * _hits(low, B_TR, _LETTERS) + F.least(F.lit(20), _chars(c, B_CHARS))).alias("tr"), (2 * _hits(low, B_EN, _LETTERS)).alias("en"))
+    scores = let(_split(_lower(c), _LETTERS), lambda w: F.struct((2 * _hits(w, B_TR) + F.least(F.lit(20), _chars(c, B_CHARS))).alias("tr"), (2 * _hits(w, B_EN)).alias("en")))
     blank = F.struct(F.lit("unknown").alias("label"), F.lit(0.0).alias("confidence"))
     return F.when(~c.rlike(r"\p{L}"), blank).otherwise(let(scores, judge))
 
 
 def language_c(c: Column) -> Column:
-    low = _lower(c)
-    tr, en = 2 * _chars(c, A_CHARS) + _hits(low, C_TR, _WORD), _hits(low, C_EN, _WORD)
-    winner = let(F.struct(tr.alias("tr"), en.alias("en")), lambda s: _winner(s["tr"], s["en"]))
+    scores = let(_split(_lower(c), _WORD), lambda w: F.struct((2 * _chars(c, A_CHARS) + _hits(w, C_TR)).alias("tr"), _hits(w, C_EN).alias("en")))
+    winner = let(scores, lambda s: _winner(s["tr"], s["en"]))
     blank = ~c.rlike(r"[^\x00-\x20]")
     return F.when(blank, "unknown").otherwise(F.coalesce(winner, F.when(~c.rlike(r"[^\x00-\x7F]"), "en").otherwise("unknown")))
 
 
 def language_d(c: Column, fallback: Column) -> Column:
     """Turkish letters or two known words decide; else the language the source claims."""
-    low = _lower(c)
-    different = lambda wanted: F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(_pattern(wanted, _WORD)), F.lit(0))))
-    return F.when(fallback == "code", "code").when((_chars(c, D_CHARS) > 0) | (different(D_TR) >= 2), "tr").when(different(D_EN) >= 2, "en").otherwise(fallback)
+    different = let(F.array_distinct(_split(_lower(c), _WORD)), lambda w: F.struct(_hits(w, D_TR).alias("tr"), _hits(w, D_EN).alias("en")))
+    known = let(different, lambda s: F.when((_chars(c, D_CHARS) > 0) | (s["tr"] >= 2), "tr").when(s["en"] >= 2, "en"))
+    return F.when(fallback == "code", "code").otherwise(F.coalesce(known, fallback))
