@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles, words
+from ..functions.text import content_key, shingles, words
 from ..session import cut_lineage, small
 
 TOKENS = "[A-Za-zÇĞİÖŞÜçğıöşü0-9]+"
@@ -126,3 +126,11 @@ def containing(docs: DataFrame, snippets: DataFrame, doc_id: str = "doc_id", tex
     if words:
         out = search(words) if out is None else out.union(search(words))
     return out if out is not None else texts.limit(0).select(F.col("text").alias("snippet"), "id")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("prompt", "text"), min_chars: int = 40, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id): documents that contain a value of ``fields`` of ``items`` of at least ``min_chars`` characters; both sides
+    are compared by their content key. ``fields`` that ``items`` doesn't have are passed over."""
+    held = [f for f in fields if f in items.columns]
+    snippets = items.select(F.explode(F.array(*[content_key(F.col(f)) for f in held])).alias("snippet")).where(F.length("snippet") >= min_chars)
+    return containing(docs.select(doc_id, content_key(F.col(text_col)).alias(text_col)), snippets, doc_id, text_col).select("id").distinct()

@@ -106,6 +106,15 @@ def decontam_exact(spark, d):
     return docs(spark, d, "doc_id", "text").withColumn("k", T.content_hash(F.coalesce("text", F.lit("")))).join(items, "k", "left_semi").select("doc_id")
 
 
+_LONG = f"SELECT k FROM (SELECT {S.key('text')} AS k FROM eval_items UNION SELECT {S.key('prompt')} FROM eval_items) WHERE length(k) >= 40"
+
+
+@query(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, {S.key('text')} AS t FROM documents) JOIN ({_LONG}) ON contains(t, k)")
+def decontam_contains(spark, d):
+    """Documents that contain an evaluation text or prompt of at least 40 characters."""
+    return similarity.contaminated(docs(spark, d, "doc_id", "text"), table(spark, d, "eval_items", "prompt", "text")).select(F.col("id").alias("doc_id"))
+
+
 _RUN8 = lambda t, k: f"SELECT {k}, unnest(list_distinct({S.shingled('w', 8)})) AS run FROM (SELECT {k}, {S.words('text')} AS w FROM {t}) WHERE len(w) >= 8"
 
 

@@ -14,7 +14,8 @@ def inventory(docs: DataFrame, items: DataFrame, threshold: float = 0.85, min_ch
     """(doc_id, reason, representative_id, removed_paragraphs, n_chars): what becomes of every document, stage by stage
     over whole tables. A document is refused by the first stage that objects; paragraphs that an earlier passing
     document (by id) holds, or that repeat within a document, are cut before the second filter. Duplicates keep the
-    first of their group. ``docs`` needs doc_id, text, lang; ids are unique."""
+    first of their group. A document is contaminated if its text equals the text of an item or contains an item's text or prompt
+    of at least 40 characters. ``docs`` needs doc_id, text, lang; ids are unique. ``items`` needs text and may have prompt."""
     d = docs.select("doc_id", "text", "lang")
     first = filters.quality_reason(F.col("text"), F.col("lang"))
     judged = d.withColumn("reason", first)
@@ -30,7 +31,8 @@ def inventory(docs: DataFrame, items: DataFrame, threshold: float = 0.85, min_ch
     second = cut_lineage(rebuilt.withColumn("reason", F.concat(F.lit("post_dedup_"), again)).withColumn("h", content_hash(F.col("text"))))
 
     leaked = items.select(content_hash(F.col("text")).alias("h")).distinct().withColumn("leaked", F.lit(True))
-    third = second.where("reason is null").join(leaked, "h", "left")
+    holding = similarity.contaminated(second.where("reason is null"), items).select(F.col("id").alias("doc_id"), F.lit(True).alias("holds"))
+    third = cut_lineage(second.where("reason is null").select("doc_id", "h").join(leaked, "h", "left").join(holding, "doc_id", "left").select("doc_id", "h", F.coalesce("leaked", "holds").alias("leaked")))
     exact = dedup.first_by_key(third.where("leaked is null").select("doc_id", "h"), "h", ["doc_id"], "doc_id")
     clean = cut_lineage(second.where("reason is null").join(exact.where("doc_id = representative_id").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
     near = dedup.greedy(similarity.jaccard_pairs(clean, threshold=threshold)).where("not kept")

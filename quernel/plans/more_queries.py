@@ -242,7 +242,7 @@ def corpus_inventory(spark, d):
     """What becomes of every document of the corpus."""
     from .inventory import inventory
 
-    return inventory(docs(spark, d, "doc_id", "text", "lang"), table(spark, d, "eval_items", "text"))
+    return inventory(docs(spark, d, "doc_id", "text", "lang"), table(spark, d, "eval_items", "prompt", "text"))
 
 
 # Terms of the example score.

@@ -191,14 +191,36 @@ _NORMS = f"SELECT DISTINCT {S.key('text')} AS k FROM eval_items"
 @query(f"""WITH f AS ({_FILTERED}), h AS (SELECT doc_id, source, length(r) AS n, reason, {S.key('r')} AS k FROM f), g AS (SELECT *, min(CASE WHEN reason IS NULL THEN doc_id END) OVER (PARTITION BY k) AS first FROM h),
 e AS ({_NORMS}) SELECT source, CASE WHEN reason IS NOT NULL THEN reason WHEN g.k IN (SELECT k FROM e) THEN 'evaluation_contamination' WHEN doc_id != first THEN 'exact_duplicate' ELSE 'accepted' END AS reason, count(*) AS docs, sum(n)::BIGINT AS chars FROM g GROUP BY ALL""")
 def flagship_clean_funnel(spark, d):
-    """Filter, contamination by equal text, exact duplicates (first kept), counted by source and reason."""
+    """Filter, contamination by equal text, exact duplicates (first kept), counted by source and reason. Texts that
+    contain an evaluation text are no case here; ``clean_funnel_contains`` has them."""
+    return _funnel(spark, d, contained=False)
+
+
+_LONG = f"SELECT k FROM (SELECT {S.key('text')} AS k FROM eval_items UNION SELECT {S.key('prompt')} FROM eval_items) WHERE length(k) >= 40"
+
+
+@query(f"""WITH f AS ({_FILTERED}), h AS (SELECT doc_id, source, length(r) AS n, reason, {S.key('r')} AS k FROM f), g AS (SELECT *, min(CASE WHEN reason IS NULL THEN doc_id END) OVER (PARTITION BY k) AS first FROM h),
+e AS ({_NORMS}), c AS (SELECT DISTINCT h.k FROM h JOIN ({_LONG}) l ON contains(h.k, l.k))
+SELECT source, CASE WHEN reason IS NOT NULL THEN reason WHEN g.k IN (SELECT k FROM e) OR g.k IN (SELECT k FROM c) THEN 'evaluation_contamination' WHEN doc_id != first THEN 'exact_duplicate' ELSE 'accepted' END AS reason, count(*) AS docs, sum(n)::BIGINT AS chars FROM g GROUP BY ALL""")
+def clean_funnel_contains(spark, d):
+    """The same funnel with contamination by equal text or by an evaluation text or prompt of at least 40 characters
+    that the document contains."""
+    return _funnel(spark, d, contained=True)
+
+
+def _funnel(spark, d, contained: bool):
     from ..operators.dedup import first_by_key
+    from ..operators.similarity import contaminated
 
-    h = cut_lineage(docs(spark, d, "doc_id", "source", "text", "lang").select(
+    source = docs(spark, d, "doc_id", "source", "text", "lang")
+    h = cut_lineage(source.select(
         "doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("n"), filters.quality_reason(F.col("text"), F.col("lang")).alias("reason"), T.content_hash(F.coalesce("text", F.lit(""))).alias("k")
     ))
-    items = table(spark, d, "eval_items", "text").select(T.content_hash(F.col("text")).alias("k")).distinct()
-    passed = first_by_key(h.where("reason is null"), "k", ["doc_id"], "doc_id").join(items.withColumn("leaked", F.lit(True)), "k", "left")
+    items = table(spark, d, "eval_items", "prompt", "text")
+    passed = first_by_key(h.where("reason is null"), "k", ["doc_id"], "doc_id").join(items.select(T.content_hash(F.col("text")).alias("k")).distinct().withColumn("leaked", F.lit(True)), "k", "left")
+    if contained:
+        holding = contaminated(source, items).select(F.col("id").alias("doc_id"), F.lit(True).alias("holds"))
+        passed = passed.join(holding, "doc_id", "left").withColumn("leaked", F.coalesce("leaked", "holds"))
     judged = passed.select("source", "n", F.when(F.col("leaked"), "evaluation_contamination").when(F.col("doc_id") != F.col("representative_id"), "exact_duplicate").otherwise("accepted").alias("reason"))
     return judged.union(h.where("reason is not null").select("source", "n", "reason")).groupBy("source", "reason").agg(F.count("*").alias("docs"), F.sum("n").alias("chars"))
 

@@ -188,3 +188,16 @@ def test_inventory(spark):
     assert text.startswith("# By language\n\n| lang | count |")
     with pytest.raises(ValueError):
         report(df, "x", 2)
+
+
+def test_inventory_refuses_contained_items(spark):
+    from quernel.plans.inventory import inventory
+
+    base = "the and of to in is for that with as on by from or an this are be it was can which at not has have "
+    item = "where does the old river of the north turn to the sea"
+    rows = [(1, base * 2 + "Where does  the OLD river\nof the north turn to the sea and so on", "en"), (2, base + " ".join(f"the item{i} of that" for i in range(60)), "en"), (3, base + "the ferry of the lake is not on time " + " ".join(f"of place{i} to the" for i in range(60)), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    items = spark.createDataFrame([("the ferry of the lake", item), (None, None)], "prompt string, text string")
+    assert {r.doc_id: r.reason for r in inventory(df, items).collect()} == {1: "evaluation_contamination", 2: "accepted", 3: "accepted"}  # a prompt of under 40 characters is none
+    longer = items.select(F.concat("prompt", F.lit(" is not on time of place0")).alias("prompt"), "text")
+    assert {r.doc_id: r.reason for r in inventory(df, longer).collect()} == {1: "evaluation_contamination", 2: "accepted", 3: "evaluation_contamination"}
