@@ -80,17 +80,22 @@ def budget(df: DataFrame, target: int, maximum: int, group: str = "source", orde
     return _folded(df.select(F.col(group).cast("string").alias(group), F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size)), group, [order], step, pa.schema([(group, pa.string()), (order, pa.int64()), ("running", pa.int64())]), f"{group} string, {order} long, running long")
 
 
-def pack(df: DataFrame, capacity: int, group: str = "split", order: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+def pack(df: DataFrame, capacity: int, group: str = "split", order: str = "doc_id", size: str = "n_tokens", oversize: str = "skip") -> DataFrame:
     """(group, id, shard, start_offset, end_offset): next-fit packing of whole documents into shards of at most
-    ``capacity`` tokens; a document that doesn't fit the rest of a shard opens the next. Longer ones than a shard are
-    left out (the caller finds them by an anti-join), as are null sizes."""
+    ``capacity`` tokens; a document that doesn't fit the rest of a shard opens the next. A longer one than a shard gets
+    one of its own that exceeds ``capacity`` (``oversize`` own), is an error that names the number of such documents
+    (raise), or is left out and found by the caller in an anti-join (skip). Null sizes are left out."""
+    if oversize not in ("own", "raise", "skip"):
+        raise ValueError(f"oversize is own, raise or skip, not {oversize}")
+    if oversize == "raise" and (n := df.where(F.col(size) > capacity).count()):
+        raise ValueError(f"{n} documents are longer than a shard of {capacity}")
 
     def step(state: dict, r: dict):
         n = r[size]
-        if n is None or n > capacity:
+        if n is None or n > capacity and oversize != "own":
             return None
         shard, used = state.get("shard", 0), state.get("used", 0)
-        if used + n > capacity:
+        if used and used + n > capacity:
             shard, used = shard + 1, 0
         state["shard"], state["used"] = shard, used + n
         return {group: r[group], order: r[order], "shard": shard, "start_offset": used, "end_offset": used + n}

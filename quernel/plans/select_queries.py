@@ -109,9 +109,10 @@ def quota_scale(spark, d):
 
 @query()
 def pack_next_fit(spark, d):
+    """Shards of 50,000 characters; a longer document has a shard of its own."""
     b = T.hash_bucket(F.col("doc_id").cast("string"), 100)
     sized = docs(spark, d, "doc_id", "n_chars").select(F.when(b < 98, "train").when(b < 99, "validation").otherwise("eval").alias("split"), "doc_id", "n_chars")
-    return select.pack(sized, 50_000, size="n_chars")
+    return select.pack(sized, 50_000, size="n_chars", oversize="own")
 
 
 @query()

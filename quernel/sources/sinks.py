@@ -42,8 +42,9 @@ def partitioned_text(df: DataFrame, path: str, by: str, text_col: str = "text",
 def token_shards(df: DataFrame, path: str, capacity: int = 5_000_000, split: str = "split", order: str = "doc_id", ids: str = "token_ids") -> DataFrame:
     """Write whole documents into shards of at most ``capacity`` 16-bit tokens and return the boundaries (split,
     doc_id, shard, start_offset, end_offset). The packing fold sees lengths only; token data are shuffled once, to the
-    task of their shard, and laid end to end there. A shard is bounded by ``capacity``."""
-    bounds = pack(df.withColumn("n_tokens", F.size(ids)), capacity, split, order)
+    task of their shard, and laid end to end there. A shard is bounded by ``capacity``; a longer document is an error, and
+    nothing is written."""
+    bounds = pack(df.withColumn("n_tokens", F.size(ids)), capacity, split, order, oversize="raise")
     placed = df.select(F.col(split).cast("string").alias(split), F.col(order).cast("long").alias(order), pack_uint16(F.col(ids)).alias("data")).join(bounds, [split, order])
     fields = pa.schema([(split, pa.string()), ("shard", pa.int32()), ("tokens", pa.int64()), ("payload", pa.binary())])
 

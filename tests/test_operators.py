@@ -134,6 +134,25 @@ def test_pack(spark):
     assert select.gaps(packed, ["split", "shard"]).count() == 0
 
 
+def test_pack_keeps_longer_documents(spark, tmp_path):
+    from quernel.plans import catalogue
+    from quernel.sources import sinks
+
+    df = spark.createDataFrame([("t", i, n) for i, n in enumerate([11, 10, 4, 25, 6, 1])], "split string, doc_id long, n_tokens long")
+    packed = select.pack(df, 10, oversize="own")
+    assert sorted((r.doc_id, r.shard, r.start_offset, r.end_offset) for r in packed.collect()) == [(0, 0, 0, 11), (1, 1, 0, 10), (2, 2, 0, 4), (3, 3, 0, 25), (4, 4, 0, 6), (5, 4, 6, 7)]
+    assert select.gaps(packed, ["split", "shard"]).count() == 0
+    with pytest.raises(ValueError, match="2 documents"):
+        select.pack(df, 10, oversize="raise")
+    tokens = spark.createDataFrame([("t", 1, [1, 2, 3]), ("t", 2, [4] * 11)], "split string, doc_id long, token_ids array<int>")
+    with pytest.raises(ValueError, match="1 documents"):
+        sinks.token_shards(tokens, str(tmp_path / "shards"), 10)
+    assert not (tmp_path / "shards").exists()
+    spark.createDataFrame([(i, n) for i, n in enumerate([400, 60_000, 500])], "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted((r.doc_id, r.end_offset - r.start_offset) for r in catalogue.queries()["pack_next_fit"](spark, str(tmp_path)).collect()) == [(0, 400), (1, 60_000), (2, 500)]
+    assert catalogue.queries()["boundary_check"](spark, str(tmp_path)).count() == 0
+
+
 def test_running_doesnt_depend_on_partitions(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 7)
     want = 0
