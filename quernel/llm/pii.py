@@ -15,6 +15,7 @@ Spans found are replaced by placeholders naming their type; the town after a str
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -65,8 +66,9 @@ TYPES = ("email", "phone", "id_number", "address", "person_name")
 NEAR = 120
 #: Disclosure, in bits, from which a term counts; occurrences and different companions it needs.
 THRESHOLD, LEAST, COMPANIONS = 2.0, 3, 3
-#: Shares of all pairs near entities, and of all words around identity numbers, that a term needs besides.
-NAME_SHARE, CUE_SHARE = 0.0002, 0.002
+#: Few occurrences must be clear ones, however large the table is: lowered by so many standard errors, a disclosure
+#: must still be so many bits.
+DOUBT, SURE = 1.645, 0.0
 MAX_TERMS = 2_000_000
 MAX_RATE = 0.1
 
@@ -263,12 +265,14 @@ def learn(docs: DataFrame, text_col: str = "text") -> Disclosure:
     base = rows.where("kind = 'words'").agg(F.sum("n"), F.sum("near")).first()
     # how often any capitalised word stands near an entity; a text full of entities must not hide what they share
     rate = min(max((base[1] or 0) / max(base[0] or 0, 1), 1e-4), MAX_RATE)
-    bits = F.log2((F.col("near") / F.col("n")) / F.lit(rate))
+    share, z2 = F.col("near") / F.col("n"), DOUBT**2
+    # lower bound of the share (Wilson)
+    low = (share + z2 / (2 * F.col("n")) - DOUBT * F.sqrt(share * (1 - share) / F.col("n") + z2 / (4 * F.col("n") ** 2))) / (1 + z2 / F.col("n"))
+    bits, least = F.log2(share / F.lit(rate)), F.log2(low / F.lit(rate))
     pairs = rows.where("kind = 'pair'")
     terms = pairs.groupBy("term").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.sum("inside").alias("inside"), F.count("*").alias("companions"))
     # words that mostly open sentences are no names
-    held = terms.agg(F.sum("near")).first()[0] or 0
-    likely = terms.where((F.col("n") >= max(LEAST, NAME_SHARE * held)) & (F.col("companions") >= COMPANIONS) & (F.col("inside") >= 0.3 * F.col("n")) & (F.col("near") > 0) & (bits >= THRESHOLD))
+    likely = terms.where((F.col("n") >= LEAST) & (F.col("companions") >= COMPANIONS) & (F.col("inside") >= 0.3 * F.col("n")) & (F.col("near") > 0) & (bits >= THRESHOLD) & (least >= SURE))
     second = pairs.join(likely.select("term"), "term", "left_semi").groupBy(F.col("other").alias("term")).agg(F.count("*").alias("firsts"), F.sum("n").alias("after"))
     # what follows several given names is a surname
     given = likely.join(second, "term", "left").where(F.coalesce("firsts", F.lit(0)) < 0.5 * F.col("companions"))
@@ -279,7 +283,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> Disclosure:
     cue = rows.where("kind = 'cue'").groupBy("term").agg(F.sum("n").alias("plain"), F.sum("near").alias("sure"))
     sums = cue.agg(F.sum("plain"), F.sum("sure")).first()
     ratio = F.log2(((F.col("sure") + 0.5) / F.lit((sums[1] or 0) + 1.0)) / ((F.col("plain") + 0.5) / F.lit((sums[0] or 0) + 1.0)))
-    cues = _collect(cue.where(~F.substring("term", 2, 100).isin(*FUNCTION_WORDS)).where((F.col("sure") >= max(LEAST, CUE_SHARE * (sums[1] or 0))) & (ratio >= -THRESHOLD) & ~F.substring("term", 2, 100).isin(*OTHER_NUMBERS, "no", "nummer", "number", "numero", "dun")).select("term"))
+    lowest = ratio - DOUBT / math.log(2) * F.sqrt(1 / (F.col("sure") + 0.5) + 1 / (F.col("plain") + 0.5))
+    cues = _collect(cue.where(~F.substring("term", 2, 100).isin(*FUNCTION_WORDS)).where((F.col("sure") >= LEAST) & (lowest >= -THRESHOLD) & ~F.substring("term", 2, 100).isin(*OTHER_NUMBERS, "no", "nummer", "number", "numero", "dun")).select("term"))
     return Disclosure(names, surnames, frozenset(c for c in cues if c[1:] not in names))
 
 

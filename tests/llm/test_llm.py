@@ -374,6 +374,15 @@ def test_personal_data(spark):
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_rare_names_are_learnt_in_large_tables(spark):
+    last = ("Kornwald", "Birkmoor", "Tannholt", "Zellhaus")
+    rare = [(" ".join(f"ask for Zelda {x} at z{i}.{x.lower()}@post.org today." for x in last[: 2 + i % 3]),) for i in range(4)]
+    plain = "the lamp is on the table and nobody is at the door of the house near the lake " * 3
+    common = spark.range(2000).selectExpr("concat_ws(' ', transform(sequence(1, 30), i -> concat('we met Edwin ', element_at(array('Kornwald', 'Birkmoor', 'Tannholt', 'Zellhaus'), int(i % 4) + 1), ' at e', i, '@post.org today. " + plain + "'))) AS text")
+    model = pii.learn(common.unionByName(spark.createDataFrame(rare, "text string")))
+    assert {"edwin", "zelda"} <= model.given
+
+
 def test_cache_is_bounded():
     c = Cache(len, 3)
     assert [c[x] for x in ("a", "bb", "ccc", "dddd", "a")] == [1, 2, 3, 4, 1] and len(c) <= 3
