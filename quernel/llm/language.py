@@ -3,7 +3,8 @@
 Compression classification: every language has a zstandard raw-content dictionary of sample text; a sentence belongs to
 the language whose dictionary makes it smallest, unless the margin to the next is narrow, in which case it says nothing
 and goes with its neighbours. Runs of sentences in one language are segments; a run of fewer than ``MIN_WORDS`` words
-(names, titles, quotations, terms) is none.
+(names, titles, quotations, terms) is none. A run of fewer than one and a half times as many sure words that isn't a very
+clear case is judged again as a whole, with its narrow sentences and without what is quoted inside its sentences.
 
 The dictionaries are fitted on a bounded sample: at most ``sample`` labelled texts per language, chosen by hash over all
 rows, of which ``dictionary`` bytes per language are kept. Labels may be wrong: the sample is split in two halves, each
@@ -39,6 +40,8 @@ MIN_WORDS = 10
 SENTENCE = re.compile(r"[^\n]*?[.!?…][\"'”“’»)\]]*(?=\s|$)|[^\n]+")
 _NOISE = re.compile(r"[`@/\\_=<>{}|#\d]")
 _LETTERS = re.compile(r"[a-z]+")
+#: What is quoted inside a sentence: terms and titles of other languages.
+_QUOTED = re.compile(r"(?<=\w)\s+(?:“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\")|(?:“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\")(?=,?\s+\w)")
 
 
 def label_language(column):
@@ -109,6 +112,11 @@ class Languages:
         confidence = min(1.0, 0.5 + (b - a) / max(b, 1))
         return (best if b - a >= max(2, self.margin * b) else None), confidence, best
 
+    def holds(self, language: str, parts: list[str], min_words: int) -> bool:
+        """Whether sentences, without what is quoted inside them, are together ``min_words`` words of a language."""
+        own = [_QUOTED.sub(" ", p) for p in parts]
+        return sum(bool(_TOKENS[t]) for p in own for t in p.split()) >= min_words and self.decide(" ".join(map(letters, own)))[0] == language
+
     def segments(self, text: str, min_words: int = MIN_WORDS) -> list[tuple[str, int, float]]:
         """(language, words, confidence) of each segment in text order; a text without words has one of ``unknown``."""
         units = []  # language or None, words, confidence, guess
@@ -118,38 +126,44 @@ class Languages:
             plain = letters(s)
             n = plain.count(" ") + 1 if plain else 0
             if n:
-                units.append((*self.decide(plain), n, plain))
+                units.append((*self.decide(plain), n, plain, s))
         if not wordy(units):
             return [("unknown", 0, 1.0)]
         runs: list[list] = []  # language, words, weighted confidence
         held = 0  # words that say nothing, before the first that do
-        for language, confidence, _, n, _ in units:
+        early: list[tuple] = []  # their best guesses and sentences
+        for language, confidence, guess, n, _, s in units:
             if language is None:
                 if runs:
                     runs[-1][1] += n
+                    runs[-1][4] += [s] * (guess == runs[-1][0])
                 else:
                     held += n
+                    early.append((guess, s))
             elif runs and runs[-1][0] == language:
                 runs[-1][1] += n
                 runs[-1][2] += n * confidence
                 runs[-1][3] += n
+                runs[-1][4].append(s)
             else:
-                runs.append([language, n, n * confidence, n])
+                runs.append([language, n, n * confidence, n, [x for g, x in early if g == language] * (not runs) + [s]])
         if not runs:  # nothing sure: the best guess over the whole
             language, confidence, best = self.decide(" ".join(letters(s) for s in sentences(text)))
             return [(language or best or "unknown", held, confidence)]
         runs[0][1] += held
         while len(runs) > 1:
-            # a run of few words must also be a clear case
-            small = min(range(len(runs)), key=lambda i: runs[i][3] if runs[i][3] >= 1.5 * min_words or runs[i][2] >= 0.8 * runs[i][3] else 0)
-            if runs[small][3] >= 1.5 * min_words or runs[small][3] >= min_words and runs[small][2] >= 0.8 * runs[small][3]:
+            # a run of few words must also be a clear case, by its sentences or as a whole
+            sure = lambda r: r[3] if r[3] >= 1.5 * min_words or r[2] >= 0.8 * r[3] else 0
+            weak = [i for i, r in enumerate(runs) if sure(r) < min_words and not self.holds(r[0], r[4], min_words)]
+            if not weak:
                 break
+            small = min(weak, key=lambda i: sure(runs[i]))
             words = runs.pop(small)[1]
             at = max(0, small - 1)
             runs[at][1] += words
             if at + 1 < len(runs) and runs[at][0] == runs[at + 1][0]:
                 after = runs.pop(at + 1)
-                for k in (1, 2, 3):
+                for k in (1, 2, 3, 4):
                     runs[at][k] += after[k]
         return [(r[0], r[1], r[2] / r[3]) for r in runs]
 

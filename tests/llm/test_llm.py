@@ -304,6 +304,24 @@ def test_languages(model):
     assert [s[0] for s in model.segments(fold(SENTENCES["tr"]))] == ["tr"]
 
 
+def test_segments_of_ten_words():
+    class Scripted(language.Languages):
+        def __init__(self):
+            pass
+
+        def decide(self, plain):
+            own = plain.split()
+            best = "fr" if "le" in own else "tr"
+            return (None if "vague" in own and len(own) < 10 else best, 0.7, best)
+
+    host = "bir iki bes alti yedi sekiz dokuz on yirmi otuz kirk elli altmis yetmis seksen doksan yuz bin."
+    found = lambda s: [x[0] for x in Scripted().segments(f"{host}\n\n{s}\n\n{host}")]
+    assert found("le chat noir de la maison voit un chien et un oiseau.") == ["tr", "fr", "tr"]
+    assert found("le chat noir de la maison voit. le chien est vague.") == ["tr", "fr", "tr"]  # a narrow sentence counts with its own
+    assert found("le chat noir de la maison voit un chien.") == ["tr"]
+    assert found("metinde “le chat noir de la maison voit un chien noir” terimi gecer.") == ["tr"]
+
+
 def test_labels(spark):
     labels = [("tr-TR", "tr"), ("TURKISH", "tr"), ("eng", "en"), ("en_GB", "en"), (" Deutsch ", "de"), ("und", "unknown"), ("", None), (None, None), ("n/a", None), ("nl", "other")]
     got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(labels)], "i int, t string").orderBy("i").select(language.label_language(F.col("t")).alias("x")).collect()
