@@ -44,6 +44,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "documents", "doc_id", "text"), threshold=0.6).select("doc_id_a", "doc_id_b")
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.class_links(table(spark, sf_dir, "documents", "doc_id", "text"), threshold=0.6)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(table(spark, sf_dir, "documents", "doc_id", "text"), threshold=0.8)
 
@@ -98,13 +103,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _WORDS = r"list_transform(regexp_extract_all(nfc_normalize(text), '[\p{L}\p{N}]+'), lambda w: lower(replace(w, 'İ', 'i̇')))"
-_SETS = f"""SELECT doc_id, len(s) AS n, unnest(s) AS x FROM (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
-FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0)"""
+# word sequences, shingle sets, the smallest id of each word sequence, and the similarities of all pairs of such ids
+_CLASSES = f"""w AS (SELECT doc_id, {_WORDS} AS w FROM documents), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS rep, count(*) OVER (PARTITION BY w) AS copies, w FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM m WHERE doc_id = rep)),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
+    # by definition, without the method: shared shingles of every pair
     return {
-        # by definition, without the method: shared shingles of every pair
-        "p4_found": f"""WITH s AS ({_SETS}) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
-HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.6""",
+        "p4_found": f"""WITH {_CLASSES} SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM m x JOIN m y ON x.rep = y.rep AND x.doc_id < y.doc_id
+UNION SELECT least(x.doc_id, y.doc_id), greatest(x.doc_id, y.doc_id) FROM j JOIN m x ON x.rep = j.a JOIN m y ON y.rep = j.b WHERE similarity >= 0.6""",
+        "p4_links": f"""WITH {_CLASSES} SELECT 'copy' AS kind, rep AS doc_id_a, doc_id AS doc_id_b, 1.0::DOUBLE AS similarity FROM m WHERE doc_id != rep UNION ALL SELECT 'link', a, b, round(similarity, 6) FROM j WHERE similarity >= 0.6""",
+        "p4_groups": f"""WITH {_CLASSES} SELECT doc_id, rep AS class_id, copies, (SELECT count(*) FROM j WHERE similarity >= 0.8 AND (j.a = m.rep OR j.b = m.rep)) AS links FROM m""",
     }

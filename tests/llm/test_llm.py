@@ -169,16 +169,62 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.similar_pairs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_sampler_estimates_weighted_jaccard():
-    rng = np.random.default_rng(1)
-    keys = rng.integers(1, 2**63, 300, dtype=np.uint64)
-    weights = rng.uniform(1, 12, 300).astype(np.float64)
-    a, b = slice(0, 220), slice(80, 300)
-    s = neardup.Sampler(2000).samples(np.concatenate([keys[a], keys[b]]), np.concatenate([weights[a], weights[b]]), np.array([0, 220]))
-    true = weights[80:220].sum() / weights.sum()
+@pytest.mark.parametrize("n", [300, 1000, 3000, 10_000])
+@pytest.mark.parametrize("heavy", [1.0, 1.5])
+def test_sampler_estimates_weighted_jaccard(n, heavy):
+    rng = np.random.default_rng(n)
+    shared = n * 6 // 8  # plain Jaccard index 0.6
+    keys = rng.integers(1, 2**63, 2 * n - shared, dtype=np.uint64)
+    weights = np.full(len(keys), heavy)
+    weights[:shared] = 1.0
+    a, b = slice(0, n), np.concatenate([np.arange(shared), np.arange(n, len(keys))])
+    s = neardup.Sampler(2000, 1.5).samples(np.concatenate([keys[a], keys[b]]), np.concatenate([weights[a], weights[b]]), np.array([0, n]))
+    true = weights[:shared].sum() / weights.sum()
     assert abs((s[:, 0] == s[:, 1]).mean() - true) < 0.05
 
 
+@pytest.mark.parametrize("n", [300, 1000, 3000, 10_000])
+def test_recall_of_bands_where_edits_are_heavy(n):
+    """Pairs at the threshold whose differing shingles have the largest weight and whose shared ones the least."""
+    rng = np.random.default_rng(n)
+    sampler = neardup.Sampler(24 * 3, neardup.spread_of(0.6))
+    shared, tries = n * 6 // 8, 300 if n <= 1000 else 120
+    hits = 0
+    for _ in range(tries):
+        keys = rng.integers(1, 2**63, 2 * n - shared, dtype=np.uint64)
+        weights = np.where(np.arange(len(keys)) < shared, 1.0, 1.5)
+        b = np.concatenate([np.arange(shared), np.arange(n, len(keys))])
+        s = sampler.samples(np.concatenate([keys[:n], keys[b]]), np.concatenate([weights[:n], weights[b]]), np.array([0, n]))
+        hits += (s[:, 0] == s[:, 1]).reshape(24, 3).all(1).any()
+    assert hits >= 0.93 * tries  # 0.96 expected
+
+
+def test_pages_of_one_notice_with_rare_words(spark):
+    """40 pages of a common notice that differ in a run of words found nowhere else: all 780 pairs at about 0.67."""
+    rng = random.Random(3)
+    notice = [f"notice{i}" for i in range(170)]
+    pages = {i: notice[:85] + [f"rare{i}x{k}" for k in range(34)] + notice[85:] for i in range(40)}
+    texts = {i: " ".join(w) for i, w in pages.items()} | {1000 + i: " ".join(f"word{rng.randrange(900)}" for _ in range(150)) for i in range(1500)}
+    want = {p for p in jaccard_truth({i: t for i, t in texts.items() if i < 1000}, 0.6)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id_a, r.doc_id_b) for r in neardup.similar_pairs(df, threshold=0.6).collect()}
+    assert len(want) == 780 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_links_and_copies_give_all_pairs(spark):
+    texts = edited(50, 5) | {i: "a b c d e f g h" for i in range(200, 270)} | {300: "a b c d e f g h i"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = neardup.class_links(df).collect()
+    members = {}
+    for r in rows:
+        if r.kind == "copy":
+            members.setdefault(r.doc_id_a, {r.doc_id_a}).add(r.doc_id_b)
+    pairs = {tuple(sorted(p)) for m in members.values() for p in itertools.combinations(m, 2)}
+    pairs |= {tuple(sorted((x, y))) for r in rows if r.kind == "link" for x in members.get(r.doc_id_a, {r.doc_id_a}) for y in members.get(r.doc_id_b, {r.doc_id_b})}
+    want = jaccard_truth(texts, 0.6)
+    assert pairs <= want and len(pairs) >= 0.97 * len(want) and members[200] == set(range(200, 270))
+
+
 # --- 7: leakage
 
 
