@@ -1,8 +1,20 @@
 """Problem 5: prompt and response pairs that are unfit for tuning, with the kind of defect.
 
-Shortened answers show in two ways across pairs: sorted by text, a shortened answer stands right before a longer one
-that starts with it (neighbours' common prefix), and answers cut at a length limit pile up at one length. Together with
-how an answer ends these decide ``truncated``; rules on the pair itself decide the other kinds:
+Shortened answers show across pairs: sorted by text, a shortened answer stands right before a longer one whose common
+prefix with it is the whole answer, and answers cut at a length limit pile up at one length. The ending is a weaker sign:
+no closing mark, weighed against how often the last word closes sentences in all answers. ``truncated`` is their sum:
+
+====================================================================  ==
+a neighbour goes on in the midst of the sentence (MIN_SHARED words)   +2
+a neighbour goes on, and the answer has no closing mark               +2
+no closing mark                                                       +2
+at a length where open answers pile up, and no closing mark           +2
+last line of fewer than MIN_LINE words (a name, a value, an item)     -1
+the last word closes sentences mostly (CLOSES of CLOSES_LEAST times)  -2
+====================================================================  ==
+
+From 2 on the answer is truncated. A closed answer that a longer one continues with a new sentence is a sound short one.
+Rules on the pair itself decide the other kinds:
 
 * ``empty``: nothing is left without mark-up, labels and placeholders;
 * ``copy``: the answer has no word beyond the prompt's and repeats most of it;
@@ -13,13 +25,14 @@ how an answer ends these decide ``truncated``; rules on the pair itself decide t
 from __future__ import annotations
 
 import math
+import os
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, small
 from .language import LANGUAGES, Languages, letters, sentences
 from .text import CODE, MAYBE_CODE, WORD, arrow_map, fold
 
@@ -58,8 +71,12 @@ SHORT = {
 }
 SHORT_SETS = {k: frozenset(v) for k, v in SHORT.items()}
 
-#: Frequent prompt words that are collected to tell a prompt's language.
-PROMPT_WORDS = 50_000
+#: Words that a closed answer needs to count as the shortened form of a neighbour; words of a last line that is a sentence.
+MIN_SHARED, MIN_LINE = 5, 4
+#: Share of its occurrences at which a word closes sentences for one that mostly does, and occurrences needed.
+CLOSES, CLOSES_LEAST = 0.75, 5
+#: Occurrences from which a prompt's word tells a language; words and lengths up to so many are broadcast.
+TELLS, BROADCAST_ROWS = 10, 200_000
 
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.DOTALL)
 ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])(?:\s+|$)")
@@ -107,7 +124,7 @@ def ends_open(response: str) -> tuple[bool, int]:
         return (closed or len(WORD.findall(rest)) > 8) and not ENDED.search(rest), words
     if MAYBE_CODE.search(last) and CODE.search(last):
         return False, words
-    if text[-1:] in "“„«([{,":
+    if text[-1:] in "“„«([{":
         return True, 99
     # an opening quotation mark that nothing closes
     return not ENDED.search(text) or text[-1] in ".!?" and last.count("“") > last.count("”") and last.count("„") == 0, words
@@ -146,35 +163,20 @@ def language_of(text: str, model: Languages) -> tuple[str | None, float]:
     return best, votes[best] / total
 
 
-class Prompts:
-    """Language of prompts, from the company their words keep: most answers are in the language of their prompt, so a
-    word's language shows in the languages of the answers to prompts that hold it."""
-
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        words: dict[str, dict[str, int]] = {}
-        for word, language, n in counts:
-            words.setdefault(word, {})[language] = n
-        self.logs = {}
-        for word, by in words.items():
-            total = sum(by.values())
-            self.logs[word] = {k: math.log((by.get(k, 0) + 1) / (total + len(LANGUAGES))) for k in LANGUAGES}
-
-    def decide(self, words: list[str], model: Languages) -> str | None:
-        known = [self.logs[w] for w in words if w in self.logs]
-        if known:
-            scores = sorted(((sum(k[n] for k in known), n) for n in LANGUAGES), reverse=True)
-            if scores[0][0] - scores[1][0] >= math.log(3):
-                return scores[0][1]
-        return language_of(" ".join(words), model)[0]
-
-
-def _shortened(answers: DataFrame) -> DataFrame:
-    """(response, longer): distinct answers, and whether the next in sorted order starts with it. The order is global:
-    texts are spread by range, and the last of each part is held against the first of the parts after it."""
-    ordered = cut_lineage(answers.select("response").distinct().repartitionByRange(F.col("response")).sortWithinPartitions("response"))
-    firsts = dict((r.part, r.first) for r in ordered.groupBy(F.spark_partition_id().alias("part")).agg(F.min("response").alias("first")).collect())  # one row per part
-    after = {p: min((t for q, t in firsts.items() if q > p), default=None) for p in firsts}
-    fields = pa.schema([("response", pa.string()), ("longer", pa.bool_())])
+def answer_key(response):
+    """The answer without closing marks, by which neighbours are compared."""
+    return F.regexp_replace(response, r"(?U)[\s.!?…]+$", "")
+
+
+def shortened(answers: DataFrame) -> DataFrame:
+    """(h, size, within): distinct answers (by ``answer_key``, as hash and length) that are a whole common prefix with
+    their neighbour in sorted order; ``within``: the neighbour goes on within the sentence. The order is global: keys are
+    spread by range, and the last of each part is held against the first of the parts after it."""
+    keys = answers.select(answer_key(F.col("response")).alias("key")).where("key != ''").distinct()
+    ordered = cut_lineage(keys.repartitionByRange(F.col("key")).sortWithinPartitions("key"))
+    firsts = dict((r.part, r.first) for r in ordered.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("first")).collect())  # one row per part
+    after = {p: min((t for q, t in firsts.items() if q > p), default="") for p in firsts}
+    fields = pa.schema([("key", pa.string()), ("within", pa.bool_())])
 
     def compare(batches):
         from pyspark import TaskContext
@@ -182,28 +184,72 @@ def _shortened(answers: DataFrame) -> DataFrame:
         own = TaskContext.get().partitionId()
         held = None
         for b in batches:
-            texts = b.column(0).to_pylist()
-            if held is not None:
-                texts.insert(0, held)
-            held = texts.pop() if texts else held
-            follow = [*texts[1:], held]
-            yield pa.RecordBatch.from_pydict({"response": texts, "longer": [y.startswith(x) for x, y in zip(texts, follow, strict=True)]}, schema=fields)
+            texts = [held] * (held is not None) + b.column(0).to_pylist()
+            held = texts.pop() if texts else None
+            yield _continued(texts, [*texts[1:], held], fields)
         if held is not None:
-            follow = after.get(own)
-            yield pa.RecordBatch.from_pydict({"response": [held], "longer": [follow is not None and follow.startswith(held)]}, schema=fields)
+            yield _continued([held], [after.get(own, "")], fields)
+
+    found = ordered.mapInArrow(compare, "key string, within boolean")
+    return found.select(F.xxhash64("key").alias("h"), F.length("key").alias("size"), "within")
+
+
+def _continued(texts: list[str], follow: list[str], fields: pa.Schema) -> pa.RecordBatch:
+    found = [(x, y[len(x)] not in ".!?…") for x, y in zip(texts, follow, strict=True) if len(os.path.commonprefix((x, y))) == len(x) < len(y)]
+    return pa.RecordBatch.from_pydict({"key": [x for x, _ in found], "within": [w for _, w in found]}, schema=fields)
+
+
+def length_limits(answers: DataFrame) -> DataFrame:
+    """(n): lengths at which answers that break off pile up: at least ten, and five times the mean of the ten lengths
+    around."""
+    counts = answers.where("open").groupBy(F.length("response").alias("n")).agg(F.count("*").alias("k"))
+    near = counts.select("k", F.explode(F.array(*[F.col("n") + d for d in range(-5, 6)])).alias("at"), "n")
+    around = near.groupBy("at").agg(F.sum(F.when(F.col("at") == F.col("n"), F.col("k")).otherwise(0)).alias("k"), (F.sum(F.when(F.col("at") != F.col("n"), F.col("k")).otherwise(0)) / 10).alias("mean"))
+    return around.where("k >= 10 and k >= 5 * greatest(mean, 1)").select(F.col("at").alias("n"))
+
+
+_WORD, _CLOSED = r"[\p{L}\p{N}]+(?:[.!?…](?=\s|$))?", r"[.!?…]$"
+
+
+def closing_words(answers: DataFrame) -> DataFrame:
+    """(last): words that mostly close sentences, counted over all answers."""
+    tokens = answers.select(F.explode(F.regexp_extract_all(F.lower("response"), F.lit(_WORD), F.lit(0))).alias("t"))
+    counts = tokens.groupBy(F.regexp_replace("t", _CLOSED, "").alias("last")).agg(F.count("*").alias("n"), F.sum(F.col("t").rlike(_CLOSED).cast("long")).alias("closing"))
+    return counts.where((F.col("n") >= CLOSES_LEAST) & (F.col("closing") >= CLOSES * F.col("n"))).select("last")
+
+
+def truncated(rest: DataFrame) -> DataFrame:
+    """``rest`` (pair_id, response, open, words) with ``truncated``."""
+    evidence = small(shortened(rest), BROADCAST_ROWS)
+    limits = small(length_limits(rest).withColumn("limit", F.lit(2)), BROADCAST_ROWS)
+    last = F.regexp_extract(F.lower("response"), r"(?U)([\p{L}\p{N}]+)[\s*_`\"'”’»)]*$", 1)
+    closing = small(closing_words(rest).withColumn("closes", F.lit(-2)), BROADCAST_ROWS)
+    key = answer_key(F.col("response"))
+    marked = rest.withColumns({"h": F.xxhash64(key), "size": F.length(key), "n": F.length("response"), "last": F.when(F.col("open") & (F.col("words") < 99), last)})
+    joined = marked.join(evidence, ["h", "size"], "left").join(limits, "n", "left").join(closing, "last", "left")
+    opened = F.col("open").cast("int")
+    several = F.size(F.regexp_extract_all(key, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    neighbour = F.when(F.col("open") & (F.col("words") >= 2) & F.col("within").isNotNull() | ~F.col("open") & F.col("within") & (several >= MIN_SHARED), 2).otherwise(0)
+    signs = 2 * opened + neighbour + F.when(F.col("open") & (F.col("words") >= 2), F.coalesce("limit", F.lit(0))).otherwise(0) - F.when(F.col("open") & (F.col("words") < MIN_LINE), 1).otherwise(0) + F.coalesce("closes", F.lit(0))
+    return joined.withColumn("truncated", signs >= 2).drop("h", "size", "n", "last", "within", "limit", "closes")
+
 
-    return ordered.mapInArrow(compare, "response string, longer boolean")
+def prompt_scores(rest: DataFrame) -> DataFrame:
+    """(pair_id, scores): per language the summed logs of its share among the answers to prompts with a word, over the
+    words of the pair's prompt: most answers are in the language of their prompt, so a word's language shows in the
+    answers to prompts that hold it."""
+    words = rest.select("pair_id", "got", F.explode("asked").alias("word"))
+    by = words.groupBy("word").agg(*[F.sum((F.col("got") == n).cast("long")).alias(n) for n in LANGUAGES], F.count("*").alias("total")).where(F.col("total") >= TELLS)
+    logs = by.select("word", *[F.log((F.col(n) + 1) / (F.col("total") + len(LANGUAGES))).alias(n) for n in LANGUAGES])
+    return words.select("pair_id", "word").join(small(logs, BROADCAST_ROWS), "word").groupBy("pair_id").agg(F.array(*[F.sum(n) for n in LANGUAGES]).alias("scores"))
 
 
-def _limits(answers: DataFrame, most: int = 100_000) -> list[int]:
-    """Lengths at which answers that break off pile up: at least ten, and five times the mean of the ten lengths around."""
-    counts = {r.n: r.k for r in answers.where("open").groupBy(F.length("response").alias("n")).agg(F.count("*").alias("k")).where("k >= 2").orderBy(F.desc("k"), "n").limit(most).collect()}  # distinct lengths
-    out = []
-    for n, k in counts.items():
-        around = sum(counts.get(n + d, 0) for d in range(-5, 6) if d) / 10
-        if k >= 10 and k >= 5 * max(around, 1):
-            out.append(n)
-    return sorted(out)
+def prompt_language(scores: list[float] | None, words: list[str], model: Languages) -> str | None:
+    if scores:
+        first, second = sorted(zip(scores, LANGUAGES, strict=True), reverse=True)[:2]
+        if first[0] - second[0] >= math.log(3):
+            return first[1]
+    return language_of(" ".join(words), model)[0]
 
 
 def defects(pairs: DataFrame, model: Languages) -> DataFrame:
@@ -238,22 +284,16 @@ def defects(pairs: DataFrame, model: Languages) -> DataFrame:
     judged = cut_lineage(arrow_map(last.select(F.col("pair_id").cast("long").alias("pair_id"), "prompt", "response"), rules, schema, fields, lambda: Languages(source)))
     rest = judged.where("defect is null")
 
-    # words of prompts that occur often enough to tell; the most frequent PROMPT_WORDS of them
-    company = rest.where("got is not null and not named").select(F.explode("asked").alias("word"), "got").groupBy("word", "got").agg(F.count("*").alias("n"))
-    often = company.groupBy("word").agg(F.sum("n").alias("total")).where("total >= 10").orderBy(F.desc("total"), "word").limit(PROMPT_WORDS)
-    counts = [(r.word, r.got, r.n) for r in company.join(often, "word").select("word", "got", "n").collect()]  # at most PROMPT_WORDS times four
     other_fields = pa.schema([("pair_id", pa.int64()), ("other", pa.bool_())])
 
-    def languages(given: dict[str, list], state: tuple) -> dict[str, list]:
-        prompts, model = state
-        own = [prompts.decide(a, model) for a in given["asked"]]
+    def languages(given: dict[str, list], model: Languages) -> dict[str, list]:
+        own = [prompt_language(s, a, model) for s, a in zip(given["scores"], given["asked"], strict=True)]
         return {"pair_id": given["pair_id"], "other": [o is not None and o != g for o, g in zip(own, given["got"], strict=True)]}
 
-    other = arrow_map(rest.where("got is not null and not named").select("pair_id", "got", "asked"), languages, "pair_id long, other boolean", other_fields, lambda: (Prompts(counts), Languages(source))).where("other")
+    told = rest.where("got is not null and not named").select("pair_id", "got", "asked")
+    scored = told.join(prompt_scores(told), "pair_id", "left")
+    other = arrow_map(scored, languages, "pair_id long, other boolean", other_fields, lambda: Languages(source)).where("other")
 
-    limits = _limits(rest)
-    at_limit = F.length("response").isin(limits) if limits else F.lit(False)
-    cut = F.col("open") & ((F.col("words") >= 4) | F.coalesce("longer", F.lit(False)) & (F.col("words") >= 2) | at_limit & (F.col("words") >= 2))
-    shortened = rest.where("open").join(_shortened(rest), "response", "left").where(cut).select("pair_id", F.lit("truncated").alias("defect"))
-    foreign = other.join(shortened, "pair_id", "left_anti").select("pair_id", F.lit("wrong_language").alias("defect"))
-    return judged.where("defect is not null").select("pair_id", "defect").union(shortened).union(foreign)
+    cut = truncated(rest).where("truncated").select("pair_id", F.lit("truncated").alias("defect"))
+    foreign = other.join(cut, "pair_id", "left_anti").select("pair_id", F.lit("wrong_language").alias("defect"))
+    return judged.where("defect is not null").select("pair_id", "defect").union(cut).union(foreign)

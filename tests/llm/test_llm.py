@@ -395,11 +395,33 @@ def test_defects(spark, model):
 
 
 def test_neighbours_across_parts(spark):
-    texts = [f"{i:03d} text" for i in range(300)] + [f"{i:03d} text and more" for i in range(0, 300, 3)]
+    texts = [f"{i:03d} text" for i in range(300)] + [f"{i:03d} text and more." for i in range(0, 300, 3)] + [f"{i:03d} text. More" for i in range(1, 300, 3)]
     spark.conf.set("spark.sql.shuffle.partitions", "7")
-    got = {r.response: r.longer for r in pairs._shortened(spark.createDataFrame([(t,) for t in texts], "response string")).collect()}
+    got = {(r.h, r.size): r.within for r in pairs.shortened(spark.createDataFrame([(t,) for t in texts], "response string")).collect()}
+    hashes = {r.h: r.t for r in spark.createDataFrame([(t.rstrip("."),) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert got == {t: any(u != t and u.startswith(t) for u in texts) for t in texts}
+    assert {hashes[h]: w for (h, _), w in got.items()} == {f"{i:03d} text": i % 3 == 0 for i in range(300) if i % 3 < 2}
+
+
+def test_evidence_decides_what_is_truncated(spark, model, monkeypatch):
+    filler = [("What is %d?" % i, f"Item {i} is the folder that you want to see. Number {i} is not the one that you want to see.") for i in range(40)]
+    cases = {
+        "closed": ("What do rivers do?", "Rivers carry water to the sea."),  # a neighbour goes on within the sentence
+        "longer": ("And what do rivers do?", "Rivers carry water to the sea and bring the silt along."),
+        "sound": ("What shows files?", "Use the ls command in the folder that you want to see"),  # its last word closes sentences
+        "new": ("What is a lamp?", "A lamp is a source of light. It stands on the table."),
+        "short": ("Lamp?", "A lamp is a source of light."),  # goes on with a new sentence
+        "open": ("What is a well?", "A well is a deep hole in the ground that gives"),
+    }
+    limited = {f"limit{i}": (f"Which village {i}?", f"The village {chr(97 + i)} see".ljust(25, "x")[:22] + " see") for i in range(12)}
+    names = list(cases) + list(limited)
+    rows = [(i, *v, T0) for i, v in enumerate([*cases.values(), *limited.values()])] + [(1000 + i, p, r, T0) for i, (p, r) in enumerate(filler)]
+    df = spark.createDataFrame(rows, "pair_id long, prompt string, response string, loaded_at timestamp")
+    found = lambda: {names[r.pair_id] for r in pairs.defects(df, model).collect() if r.defect == "truncated"}
+    assert found() == {"closed", "open", *limited}
+    monkeypatch.setattr(pairs, "shortened", lambda a: spark.createDataFrame([], "h long, size int, within boolean"))
+    monkeypatch.setattr(pairs, "length_limits", lambda a: spark.createDataFrame([], "n int"))
+    assert found() == {"open"}  # without neighbours and lengths the others are lost
 
 
 # --- 6: personal data
