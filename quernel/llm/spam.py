@@ -1,11 +1,13 @@
 """Problem 9: pages of repeated keywords, links, tags or stock lists in place of sentences.
 
-Each text is cut into units (lines and sentences); up to ``spare`` units that read like sentences are set aside. Over the
-words of the rest:
-
-* *recurrence*: share of content words whose last occurrence lies at most ``WINDOW`` words back, and *lag*: the largest
-  share of them that recur after exactly the same distance, both from the gaps between recurrences. Together they show
-  unnaturally regular repetition (positional autocorrelation over lag windows);
+Each text is cut into units (lines and sentences); up to ``spare`` units that read like sentences are set aside. The rest
+is a sequence of words and symbols (a link or tag, a label before a colon, a number, the end of a unit). Decided is by
+
+* *recurrence gaps* of its words: share of content words whose last occurrence lies at most ``WINDOW`` words back, and
+  *lag*, the largest share that recur after exactly the same distance;
+* *cover*: share of the sequence that lies in gaps of at most ``LINK_GAP`` between one link and the next;
+* *regular*: positional autocorrelation, the largest share of places that hold the same word or symbol as the place k
+  before, over lags k up to ``WINDOW``, beyond what the frequencies of the words give by chance;
 * *density*: share of the words taken by the most frequent pair of neighbouring content words, and *top* by the most
   frequent content word;
 * *function words* and sentence ends: lists of nouns, however distinct, have none.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +32,8 @@ from .text import CODE, MAYBE_CODE, WORD, Cache, arrow_map, fold
 FUNCTION_WORDS = frozenset(
     """
     ve bir ile icin bu su o da de ki mi ama fakat ancak veya ya hem ne en cok daha gibi kadar gore sonra once olarak olan
-    oldu olur icinde uzerinde arasinda cevresinde yakinindaki ardindan her kendi ise diye bulunan bilinir var yok degil
-    yer alan denir kimse dedi
+    oldu olur icinde uzerinde arasinda ardindan her kendi ise diye var yok degil
+    kimse
     the a an of and or in on at to for with without from by as is are was were be been it its this that these those if
     when while since because before after not no nobody but into than then he she they his her their you your we our
     which who whose there
@@ -43,9 +46,36 @@ FUNCTION_WORDS = frozenset(
 
 LINK = re.compile(r"(?:https?://|www\.)\S+|#\w+", re.IGNORECASE)
 UNIT = re.compile(r"\n+|(?<=[.!?…])[\"'”“’»)\]]*\s+")
-FIELD = re.compile(r"\b[A-Z]{2,4}-\d{3,}\b|\b(?:SKU|EAN)\b")
-
-WINDOW = 48
+SYMBOL = re.compile(r"(?:https?://|www\.)\S+|#\w+|[^\W_]+:?", re.IGNORECASE)
+
+WINDOW, LINK_GAP = 48, 16
+
+
+def symbols(units: list[tuple], words: Cache) -> list[str]:
+    """Folded words of the units' texts, with symbols for links and tags, labels, numbers and ends of units."""
+    out = []
+    for u in units:
+        for w in SYMBOL.findall(u[4]):
+            if w[0] == "#" or w[:4].lower() in ("http", "www."):
+                out.append("<link>")
+            elif w[-1] == ":":
+                out.append("<number>" if w[:-1].isdigit() else "<label>")
+            else:
+                out.append("<number>" if w.isdigit() else words[w])
+        out.append("<end>")
+    return out
+
+
+def autocorrelation(sequence: list[str], window: int = WINDOW) -> float:
+    """Largest share of places equal to the place k before, for k up to ``window``, beyond chance (0) and up to 1."""
+    n = len(sequence)
+    if n < 8:
+        return 0.0
+    number = {w: i for i, w in enumerate(dict.fromkeys(sequence))}
+    at = np.array([number[w] for w in sequence])
+    chance = float(((np.bincount(at) / n) ** 2).sum())
+    most = max(float((at[k:] == at[:-k]).mean()) for k in range(1, min(window, n // 2) + 1))
+    return max(0.0, (most - chance) / (1 - chance)) if chance < 1 else 1.0
 
 
 class Page:
@@ -69,15 +99,13 @@ class Page:
         n = self.n = max(1, len(self.words))
         self.units = len(kept)
         self.links = sum(u[2] for u in kept)
-        # a unit of links: hardly a word besides, or no sentence (a reference with a remark is none)
-        self.linked = sum(1 for u in kept if u[2] and (len(u[0]) < 6 * u[2] or u[4][-1] not in ".!?…" and not u[1])) / max(1, len(kept))
         self.function = sum(u[1] for u in kept) / n
         # words in what ends like a sentence; a long run without function words isn't one
         self.ended = sum(len(u[0]) for u in kept if u[3] and (len(u[0]) <= 30 or u[1] >= 0.04 * len(u[0]))) / n
         count = Counter(w for w in self.words if len(w) > 2 and w not in FUNCTION_WORDS)
         self.top = max(count.values(), default=0) / n
-        self.recurrence = self.lag = self.density = 0.0
-        self.fields = 0
+        self.recurrence = self.lag = self.density = self.cover = self.labels = self.regular = 0.0
+        self.folded = words
 
     def regularity(self) -> None:
         """The costlier measures."""
@@ -96,26 +124,33 @@ class Page:
         self.lag = max((k for g, k in gaps.items() if g <= WINDOW), default=0) / used
         pairs = Counter((a, b) for a, b in zip(content, content[1:], strict=False) if a and b)
         self.density = 2 * max(pairs.values(), default=0) / self.n
-        self.fields = sum(len(FIELD.findall(u[4])) for u in self.kept)
+        sequence = symbols(self.kept, self.folded)
+        self.labels = sequence.count("<label>") / max(1, len(sequence))
+        self.regular = autocorrelation(sequence)
+        places = [i for i, w in enumerate(sequence) if w == "<link>"]
+        near = [b - a for a, b in zip(places, places[1:], strict=False) if b - a <= LINK_GAP]
+        self.cover = sum(near) / max(1, len(sequence)) if len(near) >= 3 else 0.0
 
     def kind(self) -> str | None:
         """What kind of spam the page is, null if none."""
-        if self.links >= 4 and self.linked >= 0.5 and self.links >= 0.035 * self.n and self.function < 0.1:
-            self.regularity()
-            return "links"
-        if self.n < 20 or self.function >= 0.1 and self.top < 0.08:
+        if self.n < 20 and self.links < 4 or self.function >= 0.1 and self.top < 0.08:
             return None
         self.regularity()
-        if self.function < 0.1 and self.ended < 0.5 and self.fields >= 3:
+        listed = self.function < 0.1 and self.ended < 0.5
+        if self.function < 0.1 and self.cover >= (0.65 if self.ended < 0.5 else 0.85):
+            return "links"
+        if self.n < 20:
+            return None
+        if listed and self.regular >= 0.2 and self.labels >= 0.05:
             return "stock"
-        if self.recurrence >= 0.55 and (self.function < 0.1 and (self.top >= 0.05 or self.lag >= 0.1) or self.density >= 0.15 and self.top >= 0.08):
+        if listed and self.regular >= 0.3 or self.recurrence >= 0.55 and (self.function < 0.1 and (self.top >= 0.05 or self.lag >= 0.1) or self.density >= 0.15 and self.top >= 0.08):
             return "repeated"
         if self.function < 0.1 and self.ended < 0.2:  # prose may lack full stops in part
             return "list"
         return None
 
 
-MEASURES = ("units", "links", "linked", "fields", "function", "ended", "recurrence", "lag", "density", "top")
+MEASURES = ("units", "links", "cover", "labels", "regular", "function", "ended", "recurrence", "lag", "density", "top")
 
 
 def keyword_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spare: int = 2) -> DataFrame:
