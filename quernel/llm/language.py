@@ -2,7 +2,7 @@
 
 Compression classification: every language has a zstandard raw-content dictionary of sample text; a sentence belongs to
 the language whose dictionary makes it smallest, unless the margin to the next is narrow, in which case it says nothing
-and goes with its neighbours. Runs of sentences in one language are segments; a run of fewer than ``MIN_WORDS`` words
+and goes with its neighbours; a text of which not even the whole is clear is ``unknown``. Runs of sentences in one language are segments; a run of fewer than ``MIN_WORDS`` words
 (names, titles, quotations, terms) is none. A run of fewer than one and a half times as many sure words that isn't a very
 clear case is judged again as a whole, with its narrow sentences and without what is quoted inside its sentences.
 
@@ -14,6 +14,7 @@ the end sentences too.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 
@@ -147,25 +148,53 @@ class Languages:
                 runs[-1][4].append(s)
             else:
                 runs.append([language, n, n * confidence, n, [x for g, x in early if g == language] * (not runs) + [s]])
-        if not runs:  # nothing sure: the best guess over the whole
-            language, confidence, best = self.decide(" ".join(letters(s) for s in sentences(text)))
-            return [(language or best or "unknown", held, confidence)]
+        if not runs:  # no sentence is sure: the whole may be, else the text is in none of the languages
+            language, confidence, _ = self.decide(" ".join(letters(s) for s in sentences(text)))
+            return [(language, held, confidence) if language else ("unknown", held, 1.0 - confidence)]
         runs[0][1] += held
-        while len(runs) > 1:
-            # a run of few words must also be a clear case, by its sentences or as a whole
-            sure = lambda r: r[3] if r[3] >= 1.5 * min_words or r[2] >= 0.8 * r[3] else 0
-            weak = [i for i, r in enumerate(runs) if sure(r) < min_words and not self.holds(r[0], r[4], min_words)]
-            if not weak:
-                break
-            small = min(weak, key=lambda i: sure(runs[i]))
-            words = runs.pop(small)[1]
-            at = max(0, small - 1)
-            runs[at][1] += words
-            if at + 1 < len(runs) and runs[at][0] == runs[at + 1][0]:
-                after = runs.pop(at + 1)
+        return [(r[0], r[1], r[2] / r[3]) for r in self._settled(runs, min_words)]
+
+    def _settled(self, runs: list[list], min_words: int) -> list[list]:
+        """Runs without the weak ones: from the weakest on, a run of few words that isn't a clear case, by its sentences
+        or as a whole, goes with the run before it (the first with the one after), and neighbours in one language are
+        joined. Each run is judged again only when it has grown."""
+        before, after = list(range(-1, len(runs) - 1)), [*range(1, len(runs)), -1]
+        weak: list[tuple[int, int, int]] = []
+        version = [0] * len(runs)
+
+        def judge(i: int) -> None:
+            r = runs[i]
+            version[i] += 1
+            sure = r[3] if r[3] >= 1.5 * min_words or r[2] >= 0.8 * r[3] else 0
+            if sure < min_words and not self.holds(r[0], r[4], min_words):
+                heapq.heappush(weak, (sure, i, version[i]))
+
+        def unlink(i: int) -> None:
+            version[i] = -1
+            if before[i] >= 0:
+                after[before[i]] = after[i]
+            if after[i] >= 0:
+                before[after[i]] = before[i]
+
+        for i in range(len(runs)):
+            judge(i)
+        left = len(runs)
+        while weak and left > 1:
+            _, i, at = heapq.heappop(weak)
+            if version[i] != at:
+                continue
+            into = before[i] if before[i] >= 0 else after[i]
+            runs[into][1] += runs[i][1]
+            unlink(i)
+            left -= 1
+            beside = after[into] if into < i else -1
+            if beside >= 0 and runs[into][0] == runs[beside][0]:
                 for k in (1, 2, 3, 4):
-                    runs[at][k] += after[k]
-        return [(r[0], r[1], r[2] / r[3]) for r in runs]
+                    runs[into][k] += runs[beside][k]
+                unlink(beside)
+                left -= 1
+                judge(into)
+        return [r for r, v in zip(runs, version, strict=True) if v >= 0]
 
 
 def fit(docs: DataFrame, sample: int = 300, dictionary: int = 96_000, text_col: str = "text", label_col: str = "language", id_col: str = "ext_id") -> Languages:

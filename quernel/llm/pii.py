@@ -15,6 +15,7 @@ Spans found are replaced by placeholders naming their type; the town after a str
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import defaultdict
@@ -70,6 +71,8 @@ THRESHOLD, LEAST, COMPANIONS = 2.0, 3, 3
 #: must still be so many bits.
 DOUBT, SURE = 1.645, 0.0
 MAX_TERMS = 2_000_000
+#: Pairs counted in a task before their counts are handed on.
+MAX_HELD = 300_000
 MAX_RATE = 0.1
 
 
@@ -117,21 +120,38 @@ def context(text: str, start: int, end: int) -> list[str]:
     return ["<" + w for w in left] + [">" + w for w in right]
 
 
-def _free(taken: list[tuple[int, int, str]], start: int, end: int) -> bool:
-    return all(end <= s or start >= e for s, e, _ in taken)
+class Spans:
+    """Spans (start, end, type) that don't overlap, in text order."""
 
+    def __init__(self, spans=()):
+        self.spans = sorted(spans)
 
-def by_form(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
-    """Spans (start, end, type) that their form gives away, and plain numbers that could be identity numbers."""
-    found = _emails(text)
+    def __iter__(self):
+        return iter(self.spans)
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect.bisect_left(self.spans, (end,))
+        return at == 0 or self.spans[at - 1][1] <= start
+
+    def append(self, span: tuple[int, int, str]) -> None:
+        bisect.insort(self.spans, span)
+
+    def near(self, place: int, distance: int) -> bool:
+        at = bisect.bisect_right(self.spans, (place + distance + 1,))
+        return at > 0 and self.spans[at - 1][1] + distance >= place
+
+
+def by_form(text: str) -> tuple[Spans, list[tuple[int, int]]]:
+    """Spans that their form gives away, and plain numbers that could be identity numbers."""
+    found = Spans(_emails(text))
     for m in ID_FORMS.finditer(text):
         before = context(text, m.start(), m.end())[:2]
-        if _free(found, m.start(), m.end()) and not any(w.startswith("<") and w[1:] in OTHER_NUMBERS for w in before) and not re.search(r"[\w./-]$", text[max(0, m.start() - 1) : m.start()]) and not re.match(r"[ -]\d", text[m.end() : m.end() + 2]):
+        if found.free(m.start(), m.end()) and not any(w.startswith("<") and w[1:] in OTHER_NUMBERS for w in before) and not re.search(r"[\w./-]$", text[max(0, m.start() - 1) : m.start()]) and not re.match(r"[ -]\d", text[m.end() : m.end() + 2]):
             found.append((m.start(), m.end(), "id_number"))
     plain = []
     for m in NUMBER.finditer(text):
         form, (start, end) = m.group(), m.span()
-        if len(form) < 9 or not _free(found, start, end):
+        if len(form) < 9 or not found.free(start, end):
             continue
         words = context(text, start, end)
         if any(w[0] == "<" and w[1:] in OTHER_NUMBERS for w in words):
@@ -143,7 +163,7 @@ def by_form(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]
     return _addresses(text, found), plain
 
 
-def _addresses(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def _addresses(text: str, found: Spans) -> Spans:
     spans = []
     until = 0
     for m in _TR.finditer(text):
@@ -162,16 +182,16 @@ def _addresses(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int,
     spans += [m.span() for m in _DE.finditer(text)]
     spans += [m.span() for m in _FR.finditer(text)]
     for start, end in spans:
-        if _free(found, start, end):
+        if found.free(start, end):
             found.append((start, end, "address"))
     return found
 
 
-def pairs_of(text: str, found: list[tuple[int, int, str]]):
+def pairs_of(text: str, found: Spans):
     """Capitalised pairs outside the spans: (match start, first, comma, second, end, at the start of a sentence)."""
     for m in PAIR.finditer(text):
         start, end = m.start(1), m.end(4)
-        if _free(found, start, end):
+        if found.free(start, end):
             yield start, m.group(1), bool(m.group(2)), m.group(4), end, m.start(4), bool(_START.search(text[max(0, start - 6) : start])) if start else True
 
 
@@ -189,7 +209,7 @@ def items(text: str, model: Disclosure) -> list[tuple[int, int, str]]:
         words = context(text, start, end)
         if any(w in model.cues or w[1:] in ID_CUES for w in words):
             found.append((start, end, "id_number"))
-    taken: list[tuple[int, int, str]] = list(found)
+    taken = Spans(found)
     names = []
     chain = list(pairs_of(text, found))
     firsts = {p[0]: p for p in chain}
@@ -220,7 +240,7 @@ def items(text: str, model: Disclosure) -> list[tuple[int, int, str]]:
             names.append((start, stop, "person_name"))
             done = stop
     for s, e, kind in names:
-        if _free(taken, s, e):
+        if taken.free(s, e):
             found.append((s, e, kind))
     return sorted(f for f in found if f[2])
 
@@ -229,6 +249,11 @@ def learn(docs: DataFrame, text_col: str = "text") -> Disclosure:
     """Count, over all documents, how often terms stand near entities found by form, and keep those that disclose."""
     fields = pa.schema([("kind", pa.string()), ("term", pa.string()), ("other", pa.string()), ("n", pa.int64()), ("near", pa.int64()), ("inside", pa.int64())])
 
+    def rows_of(counts: dict) -> pa.RecordBatch:
+        keys, values = list(counts), list(counts.values())
+        counts.clear()
+        return pa.RecordBatch.from_pydict({name: [k[j] for k in keys] for j, name in enumerate(("kind", "term", "other"))} | {name: [v[j] for v in values] for j, name in enumerate(("n", "near", "inside"))}, schema=fields)
+
     def run(batches):
         counts: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
         cap = re.compile(rf"(?<![\w’'])[{_UP}][a-zçğıöşüâîäéèê]+")
@@ -237,11 +262,11 @@ def learn(docs: DataFrame, text_col: str = "text") -> Disclosure:
                 if not t:
                     continue
                 found, plain = by_form(t)
-                spots = [(s, e) for s, e, k in found if k and k != "address"]
+                spots = Spans((s, e, k) for s, e, k in found if k and k != "address")
                 total = counts["words", "", ""]
                 total[0] += len(cap.findall(t))
-                if spots or plain:
-                    total[1] += sum(len(cap.findall(t[max(0, s - NEAR) : e + NEAR])) for s, e in spots)
+                if spots.spans or plain:
+                    total[1] += sum(len(cap.findall(t[max(0, s - NEAR) : e + NEAR])) for s, e, _ in spots)
                     for s, e, k in found:
                         if k == "id_number":
                             for w in context(t, s, e):
@@ -250,15 +275,16 @@ def learn(docs: DataFrame, text_col: str = "text") -> Disclosure:
                         for w in context(t, s, e):
                             counts["cue", w, ""][0] += 1
                 for start, a, comma, b2, end, _, opening in pairs_of(t, found):
-                    close = any(s - NEAR <= start <= e + NEAR for s, e in spots)
+                    close = spots.near(start, NEAR)
                     if comma:
                         continue
                     c = counts["pair", fold(a), fold(b2)]
                     c[0] += 1
                     c[1] += close
                     c[2] += not opening
-        keys = list(counts)
-        yield pa.RecordBatch.from_pydict({"kind": [k[0] for k in keys], "term": [k[1] for k in keys], "other": [k[2] for k in keys], "n": [counts[k][0] for k in keys], "near": [counts[k][1] for k in keys], "inside": [counts[k][2] for k in keys]}, schema=fields)
+            if len(counts) > MAX_HELD:
+                yield rows_of(counts)
+        yield rows_of(counts)
 
     rows = docs.select(text_col).mapInArrow(run, "kind string, term string, other string, n long, near long, inside long").groupBy("kind", "term", "other").agg(F.sum("n").alias("n"), F.sum("near").alias("near"), F.sum("inside").alias("inside"))
     rows = cut_lineage(rows)
@@ -302,7 +328,7 @@ def personal_data(docs: DataFrame, model: Disclosure | None = None, id_col: str
     Null ids and texts give nothing; several deliveries of an id give each item once. Other columns are not read.
     """
     model = model or learn(docs, text_col)
-    given, surnames, cues = model.given, model.surnames, model.cues
+    shared = docs.sparkSession.sparkContext.broadcast((model.given, model.surnames, model.cues))
     fields = pa.schema([("ext_id", pa.int64()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("pii_type", pa.string()), ("item", pa.string())])
 
     def find(rows: dict[str, list], model: Disclosure) -> dict[str, list]:
@@ -315,7 +341,7 @@ def personal_data(docs: DataFrame, model: Disclosure | None = None, id_col: str
                     out[n].append(v)
         return out
 
-    found = arrow_map(docs.select(F.col(id_col).cast("long").alias("ext_id"), F.col(text_col).alias("text")), find, "ext_id long, start_char int, end_char int, pii_type string, item string", fields, lambda: Disclosure(given, surnames, cues))
+    found = arrow_map(docs.select(F.col(id_col).cast("long").alias("ext_id"), F.col(text_col).alias("text")), find, "ext_id long, start_char int, end_char int, pii_type string, item string", fields, lambda: Disclosure(*shared.value))
     return found.dropDuplicates(["ext_id", "start_char", "pii_type"])
 
 
@@ -335,11 +361,11 @@ def redact(text: str, model: Disclosure) -> tuple[str, int]:
 def redacted(docs: DataFrame, model: Disclosure | None = None, id_col: str = "ext_id", text_col: str = "text") -> DataFrame:
     """(ext_id, redacted, items): every row's text with placeholders. A null text stays null; rows are not merged."""
     model = model or learn(docs, text_col)
-    given, surnames, cues = model.given, model.surnames, model.cues
+    shared = docs.sparkSession.sparkContext.broadcast((model.given, model.surnames, model.cues))
     fields = pa.schema([("ext_id", pa.int64()), ("redacted", pa.string()), ("items", pa.int32())])
 
     def work(rows: dict[str, list], model: Disclosure) -> dict[str, list]:
         done = [(None, 0) if t is None else redact(t, model) for t in rows["text"]]
         return {"ext_id": rows["ext_id"], "redacted": [d[0] for d in done], "items": [d[1] for d in done]}
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("ext_id"), F.col(text_col).alias("text")), work, "ext_id long, redacted string, items int", fields, lambda: Disclosure(given, surnames, cues))
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("ext_id"), F.col(text_col).alias("text")), work, "ext_id long, redacted string, items int", fields, lambda: Disclosure(*shared.value))

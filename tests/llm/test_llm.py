@@ -350,6 +350,27 @@ def test_languages(model):
     assert [s[0] for s in model.segments(fold(SENTENCES["tr"]))] == ["tr"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "La maestra del pueblo examinó los viejos mapas durante el largo invierno y no se lo dijo a nadie. Cuando abrió el mercado, la gente cavó nuevos pozos.",
+        "Nauczycielka wsi badała stare mapy przez długą zimę i nikomu o tym nie powiedziała. Kiedy targ się otworzył, ludzie wykopali nowe studnie.",
+        "qzkv xwpt jhgb mnrr vvkq ploz wexq zzty krpm bvcx qwtr plmn hgfd zxcq",
+    ],
+)
+def test_other_languages_are_rejected(model, text):
+    (lang, _, _), *rest = model.segments(text)
+    assert lang == "unknown" and not rest
+
+
+def test_many_runs_are_settled_in_time(model):
+    import time
+
+    text = "\n".join((SENTENCES["fr"] if i % 2 else SENTENCES["en"]).split(". ")[0] + "." for i in range(4000))
+    began = time.time()
+    assert {s[0] for s in model.segments(text)} <= {"en", "fr"} and time.time() - began < 20
+
+
 def test_segments_of_ten_words():
     class Scripted(language.Languages):
         def __init__(self):
@@ -469,6 +490,23 @@ def test_rare_names_are_learnt_in_large_tables(spark):
     assert {"edwin", "zelda"} <= model.given
 
 
+def test_texts_full_of_numbers_take_linear_time():
+    import time
+
+    nothing = pii.Disclosure(frozenset(), frozenset(), frozenset())
+    began = time.time()
+    assert len(pii.items(" ".join(f"+44 1632 {960000 + i}," for i in range(30_000)), nothing)) == 30_000
+    assert time.time() - began < 20
+
+
+def test_counts_are_handed_on(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for _, t in person_docs()], "text string")
+    whole = pii.learn(df)
+    monkeypatch.setattr(pii, "MAX_HELD", 3)
+    parts = pii.learn(df)
+    assert whole.given and (whole.given, whole.surnames, whole.cues) == (parts.given, parts.surnames, parts.cues)
+
+
 def test_cache_is_bounded():
     c = Cache(len, 3)
     assert [c[x] for x in ("a", "bb", "ccc", "dddd", "a")] == [1, 2, 3, 4, 1] and len(c) <= 3
