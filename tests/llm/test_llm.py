@@ -116,6 +116,18 @@ def test_unreachable(spark):
     assert {(r.mix_id, r.source) for r in mixing.unreachable(docs, pieces(spark), targets).collect()} == want
 
 
+def test_shard_counts_agree_in_every_task():
+    counts = np.array([1000, 37, 0, 5003], np.int64)
+    whole, ahead = mixing.shard_counts(counts, 50, 0, 50, [3])
+    assert whole.sum(0).tolist() == counts.tolist() and not ahead.any() and set(whole.sum(1).tolist()) <= {120, 121}
+    for low in (0, 16, 32, 48):
+        part, ahead = mixing.shard_counts(counts, 50, low, min(50, low + 16), [3])
+        assert (part == whole[low : low + 16]).all() and (ahead == whole[:low].sum(0)).all()
+    huge = np.array([3 * 10**10, 5, 10**10], np.int64)
+    part, _ = mixing.shard_counts(huge, 1_000_000, 999_990, 1_000_000, [3])
+    assert part.sum() == 10 * (int(huge.sum()) // 1_000_000)
+
+
 # --- 4: near duplicates
 
 
