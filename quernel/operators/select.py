@@ -46,6 +46,19 @@ def per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFra
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rn") <= n)
 
 
+def quota_fill(df: DataFrame, group: str, id_col: str, counts: dict[str, int], total: int, no_fill: tuple[str, ...] = (), seed: str = "", fill_seed: str = "") -> DataFrame:
+    """(id, group, part): up to ``counts`` rows of each group in seeded order (part quota), then, up to ``total`` rows in
+    all, the first of the rest in another seeded order (fill), without the groups of ``no_fill``. Groups without a count
+    only fill up. ``total`` bounds what is picked in one order, so it should be far below the table."""
+    key = lambda s: F.sha2(F.concat(F.lit(s), F.col(id_col).cast("string")), 256)
+    most = F.coalesce(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col(group)], F.lit(0))
+    first = cut_lineage(per_group(df.select(id_col, group).withColumn("_k", key(seed)), group, [F.col("_k"), F.col(id_col)], max(counts.values())).where(F.col("rn") <= most).select(id_col, group))
+    free = max(0, total - first.count())
+    rest = df.select(id_col, group).where(~F.coalesce(F.col(group), F.lit("")).isin(*no_fill)).join(first.select(id_col), id_col, "left_anti")
+    fill = rest.orderBy(key(fill_seed), id_col).limit(free)
+    return first.withColumn("part", F.lit("quota")).union(fill.withColumn("part", F.lit("fill")))
+
+
 def _folded(df: DataFrame, group: str, order: list[str], step, out_fields: pa.Schema, out_schema: str) -> DataFrame:
     """Run a fold over the rows of each group in order. Rows stream through; only the state of the current group is held.
     A fold depends on every row before, so one task walks a group; ``df`` should hold keys and sizes only."""

@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import dedup_queries, more_queries, select_queries, stream_queries, text_queries  # noqa: F401
+    from . import dedup_queries, instruct_queries, more_queries, select_queries, stream_queries, text_queries  # noqa: F401

@@ -63,20 +63,6 @@ def slug_preview(spark, d):
 _PAIR = f"SELECT pair_id, max_by(struct_pack(p := prompt, r := coalesce(response, '')), loaded_at) AS s FROM instruct_seed GROUP BY pair_id"
 
 
-@query(rf"""SELECT pair_id, CASE WHEN {S.squeeze('s.p')} = '' THEN 'empty_prompt' WHEN {S.squeeze('s.r')} = '' THEN 'empty_response' WHEN length(s.r) < 20 THEN 'short' WHEN length(s.r) > 400 THEN 'long'
-WHEN regexp_matches(s.r, '{filters.V1_URL}') THEN 'url' WHEN regexp_matches(s.r, '{filters.V1_EMAIL}') THEN 'email' WHEN regexp_matches(s.r, '{filters.V1_SECRET}') THEN 'secret'
-WHEN length(regexp_replace(s.r, '[\p{{L}}\p{{N}}\s.,;:!?()''"“”`_-]', '', 'g'))::DOUBLE / length(s.r) > 0.18 THEN 'special' WHEN len({S.found('s.r', '[^ ]+')}) < 3 THEN 'few_words' ELSE 'accepted' END AS reason FROM ({_PAIR})""")
-def chat_reject_reason(spark, d):
-    p = table(spark, d, "instruct_seed", "pair_id", "prompt", "response", "loaded_at").groupBy("pair_id").agg(F.max_by(F.struct(F.col("prompt").alias("p"), F.coalesce("response", F.lit("")).alias("r")), "loaded_at").alias("s")).select("pair_id", "s.*")
-    r = F.col("r")
-    odd = F.length(F.regexp_replace(r, r"[\p{L}\p{N}\s.,;:!?()'\"“”`_-]+", "")) / F.length(r)
-    reason = T.first_reason(
-        ("empty_prompt", T.squeeze(F.col("p")) == ""), ("empty_response", T.squeeze(r) == ""), ("short", F.length(r) < 20), ("long", F.length(r) > 400), ("url", r.rlike(filters.V1_URL)), ("email", r.rlike(filters.V1_EMAIL)),
-        ("secret", r.rlike(filters.V1_SECRET)), ("special", odd > 0.18), ("few_words", F.size(F.regexp_extract_all(r, F.lit("[^ ]+"), F.lit(0))) < 3),
-    )
-    return p.select("pair_id", F.coalesce(reason, F.lit("accepted")).alias("reason"))
-
-
 _PARA = r"list_filter(list_transform(string_split_regex(text, '\n[ \t\n\x0B\f\r]*\n'), lambda x: regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), lambda x: x != '')"
 
 
