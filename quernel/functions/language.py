@@ -58,17 +58,24 @@ def language_a(c: Column) -> Column:
 
 def language_b(c: Column) -> Column:
     """struct(label, confidence): two points per stop word, one per Turkish letter up to twenty."""
+    scores = let(b_words(c), lambda w: F.struct(b_scores(c, w)[0].alias("tr"), b_scores(c, w)[1].alias("en")))
+    return F.when(~c.rlike(r"\p{L}"), F.struct(F.lit("unknown").alias("label"), F.lit(0.0).alias("confidence"))).otherwise(let(scores, lambda s: F.struct(*[x.alias(n) for n, x in zip(("label", "confidence"), b_judged(c, s["tr"], s["en"]), strict=True)])))
 
-    def judge(s: Column) -> Column:
-        none = (s["tr"] == 0) & (s["en"] == 0)
-        plain = _chars(c, "A-Za-z") / _chars(c, _LETTERS) >= 0.97
-        label = F.when(none, F.when(plain, "en").otherwise("unknown")).otherwise(F.coalesce(_winner(s["tr"], s["en"]), F.lit("unknown")))
-        confidence = F.when(none, F.when(plain, 0.55).otherwise(0.0)).when(s["tr"] == s["en"], 0.5).otherwise(F.greatest(s["tr"], s["en"]) / (s["tr"] + s["en"]))
-        return F.struct(label.alias("label"), confidence.alias("confidence"))
-
-    scores = let(_split(_lower(c), _LETTERS), lambda w: F.struct((2 * _hits(w, B_TR) + F.least(F.lit(20), _chars(c, B_CHARS))).alias("tr"), (2 * _hits(w, B_EN)).alias("en")))
-    blank = F.struct(F.lit("unknown").alias("label"), F.lit(0.0).alias("confidence"))
-    return F.when(~c.rlike(r"\p{L}"), blank).otherwise(let(scores, judge))
+
+def b_words(c: Column) -> Column:
+    return _split(_lower(c), _LETTERS)
+
+
+def b_scores(c: Column, words: Column) -> tuple[Column, Column]:
+    return 2 * _hits(words, B_TR) + F.least(F.lit(20), _chars(c, B_CHARS)), 2 * _hits(words, B_EN)
+
+
+def b_judged(c: Column, tr: Column, en: Column) -> tuple[Column, Column]:
+    """Label and confidence of a text with letters."""
+    none = (tr == 0) & (en == 0)
+    plain = _chars(c, "A-Za-z") / _chars(c, _LETTERS) >= 0.97
+    label = F.when(none, F.when(plain, "en").otherwise("unknown")).otherwise(F.coalesce(_winner(tr, en), F.lit("unknown")))
+    return label, F.when(none, F.when(plain, 0.55).otherwise(0.0)).when(tr == en, 0.5).otherwise(F.greatest(tr, en) / (tr + en))
 
 
 def language_c(c: Column) -> Column:

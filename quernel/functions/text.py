@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,9 +22,19 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+#: Characters that may decompose or compose; texts without one are in NFC form.
+MAY_COMPOSE = r"[\x{300}-\x{36F}\x{1100}-\x{11FF}\x{3099}\x{309A}\x{F900}-\x{FAFF}\x{1E00}-\x{1FFF}\x{2126}\x{212A}\x{212B}\x{340}-\x{344}]"
+
+
 def nfc(c: Column) -> Column:
-    """NFC form. Only texts with characters that may decompose or compose leave the JVM."""
-    return F.when(c.rlike(r"[\x{300}-\x{36F}\x{1100}-\x{11FF}\x{3099}\x{309A}\x{F900}-\x{FAFF}\x{1E00}-\x{1FFF}\x{2126}\x{212A}\x{212B}\x{340}-\x{344}]"), _nfc(c)).otherwise(c)
+    """NFC form. The value is right for every text, but all rows pass through Python; tables take ``composed``."""
+    return F.when(c.rlike(MAY_COMPOSE), _nfc(c)).otherwise(c)
+
+
+def composed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` in NFC form: only rows whose text may change leave the JVM."""
+    may = F.coalesce(F.col(column).rlike(MAY_COMPOSE), F.lit(False))
+    return df.where(~may).unionByName(df.where(may).withColumn(column, _nfc(F.col(column))))
 
 
 def casefold(c: Column) -> Column:
@@ -39,7 +49,12 @@ def squeeze(c: Column) -> Column:
 
 def content_key(c: Column) -> Column:
     """NFC, case-folded, white space squeezed."""
-    return squeeze(casefold(nfc(c)))
+    return composed_key(nfc(c))
+
+
+def composed_key(c: Column) -> Column:
+    """The content key of a text that is in NFC form."""
+    return squeeze(casefold(c))
 
 
 def content_hash(c: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.language import language_b, language_c, language_d
-from ..functions.text import LINE_BREAK, SPACE, casefold, content_hash, count_class, first_reason, let, nfc, squeeze_ends, stripped_lines
+from ..functions.language import b_judged, b_scores, b_words, language_c, language_d
+from ..functions.text import LINE_BREAK, SPACE, casefold, composed, count_class, first_reason, nfc, squeeze_ends, stripped_lines
 
 # Fixed values of the filters.
 MOJIBAKE_MARKERS = ("�", "Ã", "Â", "Ä", "Å", "â€", "ï¿½")
@@ -43,8 +43,8 @@ def _any(c: Column, terms: tuple[str, ...]) -> Column:
 
 
 def normalized(c: Column) -> Column:
-    """NFC, unified line ends, lines without trailing space, at most one blank line in a row, trimmed."""
-    unified = F.regexp_replace(nfc(c), LINE_BREAK, "\n")
+    """Of a text in NFC form: unified line ends, lines without trailing space, at most one blank line in a row, trimmed."""
+    unified = F.regexp_replace(c, LINE_BREAK, "\n")
     return F.regexp_replace(squeeze_ends(F.regexp_replace(unified, r"[\t \x1F\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+(?=\n)", "")), r"\n{3,}", "\n\n")
 
 
@@ -54,42 +54,40 @@ def material_pii(c: Column) -> Column:
     folded = casefold(c)
     return first_reason(
         ("email", F.contains(c, F.lit("@")) & F.exists(domains, lambda d: ~d.isin(*EXEMPT_DOMAINS))),
-        ("turkish_identity_number", c.rlike(IDENTITY_NUMBER) & _any(folded, IDENTITY_CUES)),
-        ("phone", c.rlike(PHONE) & _any(folded, PHONE_CUES)),
-        ("ipv4", c.rlike(IPV4) & _any(folded, IP_CUES)),
+        ("turkish_identity_number", _any(folded, IDENTITY_CUES) & c.rlike(IDENTITY_NUMBER)),
+        ("phone", _any(folded, PHONE_CUES) & c.rlike(PHONE)),
+        ("ipv4", _any(folded, IP_CUES) & c.rlike(IPV4)),
     )
 
 
-def quality_reason(text: Column, expected: Column, low: int = 120, high: int = 100_000, confidence: float = 0.55) -> Column:
-    """First reason of the corpus filter. A null text counts as empty."""
-    raw = F.coalesce(text, F.lit(""))
-    early = first_reason(
-        ("replacement_character", F.contains(raw, F.lit("�"))),
-        ("control_character", raw.rlike(CONTROL)),
-        ("mojibake", mojibake(raw)),
-    )
-
-    def late(c: Column) -> tuple[Column, Column, Column]:
-        solid = F.regexp_replace(c, SPACE + "+", "")
-        shares = let(solid, lambda s: F.struct((count_class(s, r"\p{P}") / F.greatest(F.length(s), F.lit(1))).alias("p"), (count_class(s, r"\p{L}\p{N}") / F.greatest(F.length(s), F.lit(1))).alias("i")))
-        repeated = let(stripped_lines(c), lambda k: (F.size(k) >= 5) & (1 - F.size(F.array_distinct(k)) / F.size(k) > 0.30))
-        return first_reason(
-            ("too_short", F.length(c) < low),
-            ("too_long", F.length(c) > high),
-            ("repeated_character", c.rlike(r"([^\t\n\x0B\f\r ])\1{39,}")),
-        ), shares, repeated
-
-    def decide(c: Column) -> Column:
-        sizes, shares, repeated = late(c)
-        return F.coalesce(
-            sizes,
-            let(shares, lambda s: first_reason(("excessive_punctuation", s["p"] > 0.35), ("low_information", s["i"] < 0.25))),
-            first_reason(("repeated_lines", repeated), ("markup_leakage", c.rlike(MARKUP))),
-            F.concat(F.lit("material_pii_"), material_pii(c)),
-            let(language_b(c), lambda f: first_reason(("wrong_or_uncertain_language", (f["label"] != F.coalesce(expected, F.lit(""))) | (f["confidence"] < confidence)))),
-        )
-
-    return F.coalesce(early, let(normalized(raw), decide))
+def with_quality_reason(df: DataFrame, text: str = "text", expected: str = "lang", name: str = "reason", low: int = 120, high: int = 100_000, confidence: float = 0.55, keep: str | None = None) -> DataFrame:
+    """``df`` with ``name``: the first reason of the corpus filter, null if none. A null text counts as empty. ``keep``:
+    a column that gets the text in NFC form.
+
+    What several tests share (normal form, counts, lines, words) are columns of their own, each computed once a row by
+    generated code; only texts that may not be in NFC form pass through Python. Strings of Spark hold no surrogates, so
+    the test for malformed ones can't apply.
+    """
+    raw, c, n = F.col("_raw"), F.col("_c"), F.col("_n")
+    d = composed(df.withColumn("_raw", F.coalesce(F.col(text), F.lit(""))).withColumn("_nfc", F.col("_raw")), "_nfc")
+    d = d.withColumn("_c", normalized(F.col("_nfc")))
+    d = d.withColumns({"_solid": F.regexp_replace(c, SPACE + "+", ""), "_k": stripped_lines(c), "_w": b_words(c), "_pii": material_pii(c)})
+    tr, en = b_scores(c, F.col("_w"))
+    d = d.withColumns({"_n": F.greatest(F.length("_solid"), F.lit(1)), "_p": count_class(F.col("_solid"), r"\p{P}"), "_a": count_class(F.col("_solid"), r"\p{L}\p{N}"), "_tr": tr, "_en": en})
+    label, sure = b_judged(c, F.col("_tr"), F.col("_en"))
+    d = d.withColumns({"_label": label, "_sure": sure})
+    reason = F.coalesce(
+        first_reason(
+            ("replacement_character", F.contains(raw, F.lit("�"))), ("control_character", raw.rlike(CONTROL)), ("mojibake", mojibake(raw)),
+            ("too_short", F.length(c) < low), ("too_long", F.length(c) > high), ("repeated_character", c.rlike(r"([^\t\n\x0B\f\r ])\1{39,}")),
+            ("excessive_punctuation", F.col("_p") / n > 0.35), ("low_information", F.col("_a") / n < 0.25),
+            ("repeated_lines", (F.size("_k") >= 5) & (1 - F.size(F.array_distinct("_k")) / F.size("_k") > 0.30)), ("markup_leakage", c.rlike(MARKUP)),
+        ),
+        F.concat(F.lit("material_pii_"), F.col("_pii")),
+        first_reason(("wrong_or_uncertain_language", ~c.rlike(r"\p{L}") | (F.col("_label") != F.coalesce(F.col(expected), F.lit(""))) | (F.col("_sure") < confidence))),
+    )
+    own = [F.col(f"`{x}`") for x in df.columns]
+    return d.select(*own, reason.alias(name), *([F.col("_nfc").alias(keep)] if keep else []))
 
 
 def pilot_reason(text: Column, language: Column, low: int = 40, high: int = 20_000) -> Column:
@@ -119,4 +117,4 @@ def pretraining_reason(text: Column, language: Column, low: int = 200, urls: int
     )
 
 
-__all__ = ["material_pii", "mojibake", "normalized", "quality_reason", "pilot_reason", "pretraining_reason", "content_hash"]
+__all__ = ["material_pii", "mojibake", "normalized", "with_quality_reason", "pilot_reason", "pretraining_reason"]

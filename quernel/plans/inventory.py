@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import composed, composed_key, content_hash
 from ..operators import dedup, filters, similarity
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 
 def inventory(docs: DataFrame, items: DataFrame, threshold: float = 0.85, min_chars: int = 80) -> DataFrame:
@@ -17,8 +17,7 @@ def inventory(docs: DataFrame, items: DataFrame, threshold: float = 0.85, min_ch
     first of their group. A document is contaminated if its text equals the text of an item or contains an item's text or prompt
     of at least 40 characters. ``docs`` needs doc_id, text, lang; ids are unique. ``items`` needs text and may have prompt."""
     d = docs.select("doc_id", "text", "lang")
-    first = filters.quality_reason(F.col("text"), F.col("lang"))
-    judged = d.withColumn("reason", first)
+    judged = filters.with_quality_reason(spread(d))
     refused = judged.where("reason is not null").select("doc_id", "reason")
     passed = judged.where("reason is null").drop("reason")
 
@@ -27,8 +26,9 @@ def inventory(docs: DataFrame, items: DataFrame, threshold: float = 0.85, min_ch
     marks = owners.groupBy("doc_id").agg(F.sum((~keep).cast("int")).alias("removed_paragraphs"), F.collect_set(F.when(~keep, F.col("idx"))).alias("cut"))  # a document's own paragraphs
     parts = F.filter(F.transform(F.split("text", r"\n[ \t\n\x0B\f\r]*\n"), lambda p: F.regexp_replace(p, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")), lambda p: p != "")
     rebuilt = passed.join(marks, "doc_id", "left").select("doc_id", "lang", F.coalesce("removed_paragraphs", F.lit(0)).alias("removed_paragraphs"), F.array_join(F.filter(parts, lambda p, i: ~F.coalesce(F.array_contains(F.col("cut"), i), F.lit(False))), "\n\n").alias("text"))
-    again = F.when(F.col("removed_paragraphs") > 0, filters.quality_reason(F.col("text"), F.col("lang")))
-    second = cut_lineage(rebuilt.withColumn("reason", F.concat(F.lit("post_dedup_"), again)).withColumn("h", content_hash(F.col("text"))))
+    changed = filters.with_quality_reason(rebuilt.where("removed_paragraphs > 0"), name="again")
+    again = changed.unionByName(rebuilt.where("removed_paragraphs = 0").withColumn("again", F.lit(None).cast("string")))
+    second = cut_lineage(composed(again.withColumn("reason", F.concat(F.lit("post_dedup_"), "again")).drop("again"), "text").withColumn("h", F.sha2(composed_key(F.col("text")), 256)))
 
     leaked = items.select(content_hash(F.col("text")).alias("h")).distinct().withColumn("leaked", F.lit(True))
     holding = similarity.contaminated(second.where("reason is null"), items).select(F.col("id").alias("doc_id"), F.lit(True).alias("holds"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import language
 from ..functions import text as T
 from ..operators import filters
-from ..session import cut_lineage, table
+from ..session import cut_lineage, spread, table
 from . import fragments as S
 from .catalogue import query
 
@@ -18,12 +18,12 @@ def docs(spark, d, *columns):
 
 @query(f"SELECT doc_id, sha256({S.key('text')}) AS h FROM documents")
 def content_hash(spark, d):
-    return docs(spark, d, "doc_id", "text").select("doc_id", T.content_hash(F.coalesce("text", F.lit(""))).alias("h"))
+    return T.composed(spread(docs(spark, d, "doc_id", "text")), "text").select("doc_id", F.sha2(T.composed_key(F.col("text")), 256).alias("h"))
 
 
 @query(f"SELECT ext_id, sha256(nfc_normalize(text)) AS h FROM (SELECT DISTINCT ext_id, text FROM extracted_documents)")
 def norm_nfc(spark, d):
-    return table(spark, d, "extracted_documents", "ext_id", "text").select("ext_id", F.sha2(T.nfc(F.col("text")), 256).alias("h")).distinct()
+    return T.composed(spread(table(spark, d, "extracted_documents", "ext_id", "text")), "text").select("ext_id", F.sha2("text", 256).alias("h")).distinct()
 
 
 @query(f"""SELECT doc_id, n_lines, filled, filled - len(list_distinct(k)) AS repeated, CASE WHEN filled = 0 THEN 0.0 ELSE round(1 - len(list_distinct(k))::DOUBLE / filled, 6) END AS ratio
@@ -51,19 +51,20 @@ def char_ratios(spark, d):
 
 # Phrases of web furniture.
 BOILERPLATE = "cookie|privacy policy|terms of use|skip to main content|all rights reserved"
+_BORDER = r"[^\p{L}\p{N}_]"
 
 
-@query(f"""SELECT doc_id, round(greatest(0.0, least(1.0, 0.35 * least(1.0, length(text) / 1000.0) + 0.35 * alpha + 0.15 * (1 - symbol) + 0.15 * (1 - rep) - least(0.25, 0.03 * boiler))), 6) AS score
+@query(f"""SELECT doc_id, floor(10000 * greatest(0.0, least(1.0, 0.35 * least(1.0, length(text) / 1000.0) + 0.35 * alpha + 0.15 * (1 - symbol) + 0.15 * (1 - rep) - least(0.25, 0.03 * boiler))) + 0.5000001) / 10000 AS score
 FROM (SELECT doc_id, text, {S.count('text', _L)}::DOUBLE / greatest(length(text), 1) AS alpha, 1 - {S.count('text', _L + _N + _P + chr(92) + 's')}::DOUBLE / greatest(length(text), 1) AS symbol,
-list_filter({S.kept_lines(S.casefold('text'))}, lambda x: length(x) >= 20) AS k, CASE WHEN len(k) = 0 THEN 0.0 ELSE 1 - len(list_distinct(k))::DOUBLE / len(k) END AS rep, len({S.found('lower(text)', BOILERPLATE)}) AS boiler FROM documents)""")
+list_filter({S.kept_lines(S.casefold('text'))}, lambda x: length(x) >= 20) AS k, CASE WHEN len(k) = 0 THEN 0.0 ELSE 1 - len(list_distinct(k))::DOUBLE / len(k) END AS rep, len({S.found("regexp_replace(lower(text), '(" + _BORDER + ")', '" + chr(92) + "1" + chr(92) + "1', 'g')", "(?:^|" + _BORDER + ")(?:" + BOILERPLATE.replace(" ", "  ") + ")(?:" + _BORDER + "|$)")}) AS boiler FROM documents)""")
 def quality_score(spark, d):
     n = F.greatest(F.length("text"), F.lit(1))
     k = F.filter(T.stripped_lines(T.casefold(F.col("text"))), lambda x: F.length(x) >= 20)
     rep = F.when(F.size(k) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(k)) / F.size(k))
     alpha, symbol = T.count_class(F.col("text"), _L) / n, 1 - T.count_class(F.col("text"), _L + _N + _P + r"\s") / n
-    boiler = F.regexp_count(F.lower("text"), F.lit(BOILERPLATE))
+    boiler = F.regexp_count(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{BOILERPLATE})(?![\p{{L}}\p{{N}}_])"))
     score = 0.35 * F.least(F.lit(1.0), F.length("text") / 1000.0) + 0.35 * alpha + 0.15 * (1 - symbol) + 0.15 * (1 - rep) - F.least(F.lit(0.25), 0.03 * boiler)
-    return docs(spark, d, "doc_id", "text").select("doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("score"))
+    return docs(spark, d, "doc_id", "text").select("doc_id", (F.floor(10000 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) + 0.5000001) / 10000).alias("score"))
 
 
 def _count_sql(p):
@@ -99,7 +100,7 @@ def lang_ref_a(spark, d):
 @query(f"SELECT doc_id, {S.language_b('text')[0]} AS label, round({S.language_b('text')[1]}, 6) AS confidence FROM documents")
 def lang_ref_b(spark, d):
     b = language.language_b(F.col("text"))
-    return docs(spark, d, "doc_id", "text").select("doc_id", b["label"].alias("label"), F.round(b["confidence"], 6).alias("confidence"))
+    return spread(docs(spark, d, "doc_id", "text")).select("doc_id", b["label"].alias("label"), F.round(b["confidence"], 6).alias("confidence"))
 
 
 @query(f"SELECT doc_id, {S.language_c('text')} AS label FROM documents")
@@ -138,9 +139,10 @@ def _quality_sql():
     b, conf = S.language_b("c")
     return rf"""CASE WHEN contains(r, '�') THEN 'replacement_character' WHEN regexp_matches(r, '{filters.CONTROL}') THEN 'control_character' WHEN {S.any_of('r', filters.MOJIBAKE_MARKERS)} THEN 'mojibake'
 WHEN length(c) < 120 THEN 'too_short' WHEN length(c) > 100000 THEN 'too_long'
+WHEN len(list_filter(list_distinct(string_split(c, '')), lambda x: NOT regexp_matches(x, '[\t\n\x0B\f\r ]') AND contains(c, repeat(x, 40)))) > 0 THEN 'repeated_character'
 WHEN {S.count('s', _P)}::DOUBLE / n > 0.35 THEN 'excessive_punctuation' WHEN {S.count('s', _L + _N)}::DOUBLE / n < 0.25 THEN 'low_information'
 WHEN len(k) >= 5 AND 1 - len(list_distinct(k))::DOUBLE / len(k) > 0.30 THEN 'repeated_lines' WHEN regexp_matches(c, '{filters.MARKUP}') THEN 'markup_leakage'
-WHEN pii IS NOT NULL THEN 'material_pii_' || pii WHEN ({b}) != coalesce(lang, '') OR ({conf}) < 0.55 THEN 'wrong_or_uncertain_language' END"""
+WHEN pii IS NOT NULL THEN 'material_pii_' || pii WHEN NOT regexp_matches(c, '\p{{L}}') OR ({b}) != coalesce(lang, '') OR ({conf}) < 0.55 THEN 'wrong_or_uncertain_language' END"""
 
 
 _FILTERED = rf"""SELECT *, {_quality_sql()} AS reason FROM (SELECT *, regexp_replace(c, '{S.SP}', '', 'g') AS s, greatest(length(s), 1) AS n, {S.kept_lines('c')} AS k, {_pii_sql('c')} AS pii
@@ -149,7 +151,7 @@ FROM (SELECT *, coalesce(text, '') AS r, {_normalized_sql("coalesce(text, '')")}
 
 @query(f"SELECT doc_id, coalesce(reason, 'accepted') AS reason FROM ({_FILTERED})")
 def reject_reason_v2(spark, d):
-    return docs(spark, d, "doc_id", "text", "lang").select("doc_id", F.coalesce(filters.quality_reason(F.col("text"), F.col("lang")), F.lit("accepted")).alias("reason"))
+    return filters.with_quality_reason(spread(docs(spark, d, "doc_id", "text", "lang"))).select("doc_id", F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 
 _PILOT = rf"""CASE WHEN regexp_matches(text, '(?i){filters.PILOT_PII}') THEN 'pii_or_url' WHEN contains(text, '�') THEN 'replacement_character' WHEN {S.any_of('text', filters.MOJIBAKE_MARKERS)} THEN 'mojibake'
@@ -180,7 +182,7 @@ def reject_reason_v1(spark, d):
 @query(f"""SELECT CASE grouping(source, lang, reason) WHEN 0 THEN 'all keys' WHEN 3 THEN 'source' WHEN 5 THEN 'lang' WHEN 6 THEN 'reason' ELSE 'total' END AS level, source, lang, reason, count(*) AS docs, sum(length(r))::BIGINT AS chars
 FROM (SELECT source, lang, r, coalesce(reason, 'accepted') AS reason FROM ({_FILTERED})) GROUP BY GROUPING SETS ((source, lang, reason), (source), (lang), (reason), ())""")
 def reason_rollup(spark, d):
-    per = docs(spark, d, "source", "lang", "text").select("source", "lang", F.coalesce(filters.quality_reason(F.col("text"), F.col("lang")), F.lit("accepted")).alias("reason"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    per = filters.with_quality_reason(spread(docs(spark, d, "source", "lang", "text"))).select("source", "lang", F.coalesce("reason", F.lit("accepted")).alias("reason"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
     return spark.sql("""SELECT CASE grouping_id(source, lang, reason) WHEN 0 THEN 'all keys' WHEN 3 THEN 'source' WHEN 5 THEN 'lang' WHEN 6 THEN 'reason' ELSE 'total' END AS level, source, lang, reason, count(*) AS docs, sum(n) AS chars
 FROM {per} GROUP BY GROUPING SETS ((source, lang, reason), (source), (lang), (reason), ())""", per=per)
 
@@ -213,9 +215,8 @@ def _funnel(spark, d, contained: bool):
     from ..operators.similarity import contaminated
 
     source = docs(spark, d, "doc_id", "source", "text", "lang")
-    h = cut_lineage(source.select(
-        "doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("n"), filters.quality_reason(F.col("text"), F.col("lang")).alias("reason"), T.content_hash(F.coalesce("text", F.lit(""))).alias("k")
-    ))
+    judged = filters.with_quality_reason(spread(source), keep="normal")
+    h = cut_lineage(judged.select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("n"), "reason", F.when(F.col("reason").isNull(), F.sha2(T.composed_key(F.col("normal")), 256)).alias("k")))
     items = table(spark, d, "eval_items", "prompt", "text")
     passed = first_by_key(h.where("reason is null"), "k", ["doc_id"], "doc_id").join(items.select(T.content_hash(F.col("text")).alias("k")).distinct().withColumn("leaked", F.lit(True)), "k", "left")
     if contained:

@@ -52,6 +52,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Tables up to this size are spread over all cores before costly work on their texts.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: its file may be one row group, which one task reads. Larger tables stay as they are,
+    as they are read by enough tasks and a shuffle of their texts would cost more."""
+    bytes_read = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if bytes_read <= SPREAD_BYTES else df
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` written once and, if it has at most ``rows`` rows, marked for broadcast; larger it joins by shuffle."""
     from pyspark.sql import functions as F

@@ -46,7 +46,8 @@ def test_shingles(spark):
     ],
 )
 def test_quality_reason(spark, text, reason):
-    assert col(spark, [text], lambda c: filters.quality_reason(c, F.lit("en"))) == [reason]
+    df = spark.createDataFrame([(1, text, "en", "x")], "id int, text string, lang string, _c string").select("id", "text", "lang")
+    assert [r.reason for r in filters.with_quality_reason(df).collect()] == [reason]
 
 
 def test_first_by_key(spark):
