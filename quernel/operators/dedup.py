@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +44,8 @@ def fenced_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def line_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
     """(id, lineno, keep): a line outside code of at least ``min_chars`` characters is kept only where it occurs first
-    in the corpus, by id and line number; all other lines are kept."""
-    per = fenced_lines(df, id_col, text_col)
+    in the corpus, by id and line number; all other lines are kept. The lines are cut once and kept in the checkpoint."""
+    per = cut_lineage(fenced_lines(df, id_col, text_col))
     checked = ~F.col("in_code") & ~F.col("is_fence") & (F.length(F.trim("line")) >= min_chars)
     first = per.where(checked).groupBy("line").agg(F.min(F.struct(id_col, "lineno")).alias("_first"))
     joined = per.where(checked).join(first, "line").select(id_col, "lineno", (F.struct(id_col, "lineno") == F.col("_first")).alias("keep"))
@@ -61,23 +62,53 @@ def prefix_key(text: Column, n: int = 24) -> Column:
     return F.array_join(F.slice(words(F.coalesce(text, F.lit("")), "[A-Za-zÇĞİÖŞÜçğıöşü0-9]+"), 1, n), " ")
 
 
-def greedy(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+#: Undecided edges up to this number are resolved in order by one task (16 bytes each, and a set of refused ids).
+FOLD_EDGES = 1_000_000
+
+
+def greedy(edges: DataFrame, fold_edges: int = FOLD_EDGES, max_rounds: int = 1_000) -> DataFrame:
     """Resolve duplicate edges (a, b), a before b, as one pass in order would: a node is kept unless an earlier kept
     node is its neighbour. Returns (id, kept, representative_id): nodes with an edge; the representative of a refused
-    node is its first kept neighbour, of a kept node itself.
+    node is its first kept neighbour, of a kept node itself. Null ids and loops are left out.
 
-    Round by round, nodes whose earlier neighbours are all refused are kept and their later neighbours refused, so a
-    chain takes as many rounds as it has links. Each round is written to the shared checkpoint folder.
+    In rounds, nodes without an earlier undecided neighbour are kept, their later neighbours refused, and only edges
+    between undecided nodes go on; once ``fold_edges`` or fewer are left, one task walks them in order, however long
+    their chains. Each round is written to the shared checkpoint folder.
     """
-    e = cut_lineage(edges.select("a", "b").distinct())
-    state = cut_lineage(e.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    e = cut_lineage(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a < b").distinct())
+    left, refused = e, None
     for _ in range(max_rounds):
-        seen = e.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("id")).agg(F.coalesce(F.max("ka"), F.lit(False)).alias("hit"), F.max(F.col("ka").isNull()).alias("open"))
-        nxt = state.join(seen, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True).alias("kept"))
-        state = cut_lineage(nxt)
-        if state.where("kept is null").isEmpty():
+        if left.limit(fold_edges + 1).count() <= fold_edges:
             break
+        kept = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        out = cut_lineage(left.join(kept, "a", "left_semi").select("b").distinct())
+        refused = out if refused is None else refused.union(out)
+        left = cut_lineage(left.join(kept, "a", "left_anti").join(out, "b", "left_anti").join(out.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
     else:
         raise RuntimeError("the edges did not resolve")
-    first = e.join(state.where("kept").select(F.col("id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("r"))
-    return state.join(first, "id", "left").select("id", "kept", F.when(F.col("kept"), F.col("id")).otherwise(F.col("r")).alias("representative_id"))
+
+    def walk(batches):
+        gone: set[int] = set()
+        for batch in batches:
+            new = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b not in gone and a not in gone:
+                    gone.add(b)
+                    new.append(b)
+            yield pa.RecordBatch.from_pydict({"b": new}, schema=pa.schema([("b", pa.int64())]))
+
+    last = left.repartition(1).sortWithinPartitions("b", "a").mapInArrow(walk, "b long")
+    refused = cut_lineage(last if refused is None else refused.union(last))
+    nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(refused.select(F.col("b").alias("id"), F.lit(True).alias("gone")), "id", "left")
+    first = e.join(refused.select(F.col("b").alias("a")), "a", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("r"))
+    return nodes.join(first, "id", "left").select("id", F.col("gone").isNull().alias("kept"), F.when(F.col("gone").isNull(), F.col("id")).otherwise(F.col("r")).alias("representative_id"))
+
+
+def greedy_links(links: DataFrame) -> DataFrame:
+    """``greedy`` over (kind, a, b) as similarity joins give them: links between the first of each class of equal texts,
+    and copies (b) of the first (a). A copy is always refused, for its class's first or for what that was refused for."""
+    links = cut_lineage(links.select("kind", "a", "b"))
+    done = cut_lineage(greedy(links.where("kind = 'link'")))
+    copies = links.where("kind = 'copy'").join(done.select(F.col("id").alias("a"), F.col("representative_id").alias("r")), "a", "left").select(F.col("b").alias("id"), F.lit(False).alias("kept"), F.coalesce("r", "a").alias("representative_id"))
+    alone = links.where("kind = 'copy'").select(F.col("a").alias("id")).distinct().join(done.select("id"), "id", "left_anti").select("id", F.lit(True).alias("kept"), F.col("id").alias("representative_id"))
+    return done.union(copies).union(alone)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,38 +60,55 @@ def quota_fill(df: DataFrame, group: str, id_col: str, counts: dict[str, int], t
     return first.withColumn("part", F.lit("quota")).union(fill.withColumn("part", F.lit("fill")))
 
 
-def _folded(df: DataFrame, group: str, order: list[str], step, out_fields: pa.Schema, out_schema: str) -> DataFrame:
-    """Run a fold over the rows of each group in order. Rows stream through; only the state of the current group is held.
-    A fold depends on every row before, so one task walks a group; ``df`` should hold keys and sizes only."""
+def _folded(df: DataFrame, group: str, order: str, size: str, step, more: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """Run a fold over the rows of each group in order: ``step(state, sizes)`` gets the sizes of the next rows as an array
+    and returns the places of the rows that come out and their further columns. A fold depends on every row before, so
+    one task walks a group; only its id, order and size are read, batch by batch, in arrays, and one state is held. Rows
+    with a null size are left out."""
+    fields = pa.schema([(group, pa.string()), (order, pa.int64()), *more])
 
     def run(batches):
-        at, state = object(), None
+        at, state = None, None
         for b in batches:
-            rows = b.to_pylist()
-            out = []
-            for r in rows:
-                if r[group] != at:
-                    at, state = r[group], {}
-                made = step(state, r)
-                if made is not None:
-                    out.append(made)
-            yield pa.RecordBatch.from_pylist(out, schema=out_fields)
-
-    return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, out_schema)
+            names, ids, sizes = b.column(0), b.column(1), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)] if len(codes) else []
+            for low, high in zip(edges, edges[1:], strict=False):
+                name = (names[low].as_py(),)
+                if name != at:
+                    at, state = name, {}
+                places, columns = step(state, sizes[low:high])
+                if len(places):
+                    taken = pa.array(places + low)
+                    yield pa.RecordBatch.from_arrays([names.take(taken), ids.take(taken), *[pa.array(c, kind) for c, (_, kind) in zip(columns, more, strict=True)]], schema=fields)
+
+    rows = df.select(F.col(group).cast("string").alias(group), F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size)).where(F.col(size).isNotNull())
+    kinds = {pa.int32(): "int", pa.int64(): "long"}
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, f"`{group}` string, `{order}` long, " + ", ".join(f"{n} {kinds[k]}" for n, k in more))
 
 
 def budget(df: DataFrame, target: int, maximum: int, group: str = "source", order: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """(group, id, running): rows picked per group in order until the sum reaches ``target``; a row that would pass
     ``maximum`` is skipped, later smaller ones may still fit. Null sizes are skipped."""
 
-    def step(state: dict, r: dict):
-        total = state.get("total", 0)
-        if total >= target or r[size] is None or total + r[size] > maximum:
-            return None
-        state["total"] = total + r[size]
-        return {group: r[group], order: r[order], "running": state["total"]}
-
-    return _folded(df.select(F.col(group).cast("string").alias(group), F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size)), group, [order], step, pa.schema([(group, pa.string()), (order, pa.int64()), ("running", pa.int64())]), f"{group} string, {order} long, running long")
+    def step(state: dict, sizes: np.ndarray):
+        total, places, sums = state.get("total", 0), [], []
+        left = np.arange(len(sizes))
+        while total < target and len(left):
+            left = left[sizes[left] <= maximum - total]  # what is too long now never fits
+            run = total + np.cumsum(sizes[left])
+            fit = int(np.searchsorted(run, maximum, "right"))
+            fit = min(fit, int(np.searchsorted(run, target, "left")) + 1)
+            if not fit:
+                break
+            places.append(left[:fit])
+            sums.append(run[:fit])
+            total, left = int(run[fit - 1]), left[fit:]
+        state["total"] = total
+        none = np.empty(0, np.int64)
+        return (np.concatenate(places), [np.concatenate(sums)]) if places else (none, [none])
+
+    return _folded(df, group, order, size, step, [("running", pa.int64())])
 
 
 def pack(df: DataFrame, capacity: int, group: str = "split", order: str = "doc_id", size: str = "n_tokens", oversize: str = "skip") -> DataFrame:
@@ -103,17 +121,29 @@ def pack(df: DataFrame, capacity: int, group: str = "split", order: str = "doc_i
     if oversize == "raise" and (n := df.where(F.col(size) > capacity).count()):
         raise ValueError(f"{n} documents are longer than a shard of {capacity}")
 
-    def step(state: dict, r: dict):
-        n = r[size]
-        if n is None or n > capacity and oversize != "own":
-            return None
+    def step(state: dict, sizes: np.ndarray):
+        places = np.arange(len(sizes)) if oversize == "own" else np.flatnonzero(sizes <= capacity)
+        own = sizes[places]
+        ends = np.cumsum(own)
         shard, used = state.get("shard", 0), state.get("used", 0)
-        if used and used + n > capacity:
-            shard, used = shard + 1, 0
-        state["shard"], state["used"] = shard, used + n
-        return {group: r[group], order: r[order], "shard": shard, "start_offset": used, "end_offset": used + n}
-
-    return _folded(df.select(F.col(group).cast("string").alias(group), F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size)), group, [order], step, pa.schema([(group, pa.string()), (order, pa.int64()), ("shard", pa.int32()), ("start_offset", pa.int64()), ("end_offset", pa.int64())]), f"{group} string, {order} long, shard int, start_offset long, end_offset long")
+        shards, starts = np.empty(len(own), np.int32), np.empty(len(own), np.int64)
+        at = 0
+        while at < len(own):  # a jump per shard
+            done = int(ends[at - 1]) if at else 0
+            stop = int(np.searchsorted(ends, done + capacity - used, "right"))
+            if stop <= at:
+                if used:
+                    shard, used = shard + 1, 0
+                    continue
+                stop = at + 1
+            shards[at:stop] = shard
+            starts[at:stop] = used + (ends[at:stop] - own[at:stop]) - done
+            used += int(ends[stop - 1]) - done
+            at = stop
+        state["shard"], state["used"] = shard, used
+        return places, [shards, starts, starts + own]
+
+    return _folded(df, group, order, size, step, [("shard", pa.int32()), ("start_offset", pa.int64()), ("end_offset", pa.int64())])
 
 
 def gaps(bounds: DataFrame, group: list[str], start: str = "start_offset", end: str = "end_offset") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,21 +17,26 @@ TOKENS = "[A-Za-zÇĞİÖŞÜçğıöşü0-9]+"
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, k: int, pattern: str = TOKENS) -> DataFrame:
-    """(id, n, s): distinct shingle hashes of each text, in rows; texts without a token are absent."""
-    sets = df.select(F.col(id_col).alias("id"), F.array_distinct(F.transform(shingles(words(F.coalesce(F.col(text_col), F.lit("")), pattern), k), lambda x: F.xxhash64(x))).alias("s"))
-    return sets.where(F.size("s") > 0).select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
+    """(id, s): distinct shingle hashes of each text, sorted; a text without a token has an empty set."""
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform(shingles(words(F.coalesce(F.col(text_col), F.lit("")), pattern), k), lambda x: F.xxhash64(x)))).alias("s"))
 
 
-def jaccard_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.85, pattern: str = TOKENS) -> DataFrame:
-    """(a, b, jaccard), a < b: pairs of texts with a Jaccard index of at least ``threshold``; nothing is approximate.
+def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.85, pattern: str = TOKENS) -> DataFrame:
+    """(kind, a, b, jaccard), a < b; nothing is approximate. ``copy``: b has the same shingles as a, the smallest such id;
+    ``link``: two such smallest ids whose texts have a Jaccard index of at least ``threshold``. So n copies give n - 1
+    rows, and texts without a token, similar by definition, are copies of the first of them.
 
     Only shingles that occur twice can be shared. Of those a text's prefix, what remains of its ``n - ceil(t * n) + 1``
     rarest shingles after those that occur once, must hold one that a similar text has too: only prefixes are joined.
-    Texts without a token are mutually similar by definition; they are paired with the first of them.
     """
-    sets = cut_lineage(shingle_sets(df, id_col, text_col, k, pattern))
-    shared = sets.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    kept = sets.join(shared, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # a text's own shingles
+    sets = cut_lineage(shingle_sets(df, id_col, text_col, k, pattern).withColumns({"h1": F.xxhash64("s"), "h2": F.xxhash64("s", F.lit(7)), "n": F.size("s")}))
+    classes = sets.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"))
+    member = sets.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"])
+    copies = member.where("id != first").select(F.lit("copy").alias("kind"), F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    own = sets.where("n > 0").join(classes.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", F.explode("s").alias("s"))
+    own = cut_lineage(own)
+    shared = own.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    kept = own.join(shared, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # a text's own shingles
     size = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("o"))
     kept = cut_lineage(kept.withColumn("p", size.cast("int")).where("p > 0").select("id", "n", F.transform("o", lambda x: x["s"]).alias("all"), F.transform(F.slice("o", 1, F.col("p")), lambda x: x["s"]).alias("prefix")))
     keys = kept.select("id", "n", F.explode("prefix").alias("key"))
@@ -38,45 +46,64 @@ def jaccard_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = kept.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("all").alias("sa"))
     right = kept.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("all").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    exact = pairs.join(left, "a").join(right, "b").select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    blank = df.where(F.size(words(F.coalesce(F.col(text_col), F.lit("")), pattern)) == 0).select(F.col(id_col).alias("b"))
-    first = blank.agg(F.min("b").alias("a"))
-    return exact.union(first.join(blank, F.col("a") < F.col("b")).select("a", "b", F.lit(1.0)))
+    exact = pairs.join(left, "a").join(right, "b").select(F.lit("link").alias("kind"), "a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return exact.union(copies)
+
+
+def _blake(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def _md5(text: str) -> int:
+    return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:8], "little")
 
 
-def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(id, h): SimHash of 64 bits over the hashed word shingles of a text; ties vote 1; no word gives 0."""
-    sets = df.select(F.col(id_col).cast("long").alias("id"), F.transform(shingles(words(F.coalesce(F.col(text_col), F.lit("")), r"\p{L}+"), k), lambda x: F.xxhash64(x)).alias("s"))
+#: 64-bit hashes of shingles. blake2b is the corpus project's own; md5 is what SQL has too.
+HASHES = {"blake2b": _blake, "md5": _md5}
+
+
+def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, hasher: str = "blake2b") -> DataFrame:
+    """(id, h): SimHash of 64 bits over the word shingles of a text, each counted as often as it occurs; ties vote 1; no
+    word gives 0."""
+    sets = df.select(F.col(id_col).cast("long").alias("id"), shingles(words(F.coalesce(F.col(text_col), F.lit("")), r"\p{L}+"), k).alias("s"))
     fields = pa.schema([("id", pa.int64()), ("h", pa.int64())])
 
     def vote(batches):
-        weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        made: dict[str, int] = {}
+        own = HASHES[hasher]
         for b in batches:
-            out = []
-            arrays = b.column(1)
-            for i in range(b.num_rows):
-                v = np.asarray(arrays[i].values, np.int64).view(np.uint64) if arrays[i].is_valid else np.empty(0, np.uint64)
-                if not len(v):
-                    out.append(0)
-                    continue
-                ones = ((v[:, None] & weights) != 0).sum(0)
-                out.append(int(weights[2 * ones >= len(v)].sum(dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], schema=fields)
+            ids, lists = b.column(0), b.column(1)
+            flat, starts = lists.flatten().to_pylist(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+            if len(made) > 1_000_000:
+                made.clear()
+            values = np.fromiter((made[x] if x in made else made.setdefault(x, own(x)) for x in flat), np.uint64, len(flat))
+            bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            out = np.zeros(len(ids), np.uint64)
+            for i, (low, high) in enumerate(zip(starts, starts[1:], strict=False)):
+                if high > low:
+                    out[i] = np.packbits(2 * bits[low:high].sum(0, dtype=np.int64) >= high - low).view(">u8")[0]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out.view(np.int64))], schema=fields)
 
     return sets.mapInArrow(vote, "id long, h long")
 
 
+#: Six bands of the 64 bits; up to three flipped bits leave three bands untouched.
+_BANDS = tuple(((1 << n) - 1) << at for n, at in ((11, 0), (11, 11), (11, 22), (11, 33), (10, 44), (10, 54)))
+_MASKS = tuple(m - (1 << 64) if m >= 1 << 63 else m for m in (a | b | c for a, b, c in itertools.combinations(_BANDS, 3)))
+
+
 def simhash_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b, distance), a < b: pairs at most three bits apart. Four bands of 16 bits: three flipped bits leave one band
-    untouched, so none is missed. Rows with an equal hash are joined through the first of them."""
+    """(kind, a, b, distance), a < b: hashes at most three bits apart. ``copy``: equal hashes, each held against the first
+    id that has it; ``link``: between such first ids. Twenty keys, three of six bands each and about 32 bits wide, of
+    which two hashes up to three bits apart share one, so none is missed and few share one by chance."""
     if distance > 3:
-        raise ValueError("four bands find up to three bits")
+        raise ValueError("six bands find up to three bits")
     groups = hashes.groupBy("h").agg(F.min("id").alias("id"))
-    bands = groups.select("id", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.call_function("shiftrightunsigned", F.col("h"), (16 * i).cast("int")).bitwiseAND(F.lit(65535).cast("long")))).alias("band", "v"))
-    a, b = bands.alias("a"), bands.alias("b")
+    keys = groups.select("id", "h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in _MASKS])).alias("band", "v"))
+    a, b = keys.alias("a"), keys.alias("b")
     apart = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h")))
-    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id"))).where(apart <= distance).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart.cast("int").alias("distance")).distinct()
-    same = hashes.alias("x").join(groups.alias("g"), (F.col("x.h") == F.col("g.h")) & (F.col("g.id") < F.col("x.id"))).select(F.col("g.id").alias("a"), F.col("x.id").alias("b"), F.lit(0).alias("distance"))
+    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id"))).where(apart <= distance).select(F.lit("link").alias("kind"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart.cast("int").alias("distance")).distinct()
+    same = hashes.alias("x").join(groups.alias("g"), (F.col("x.h") == F.col("g.h")) & (F.col("g.id") < F.col("x.id"))).select(F.lit("copy").alias("kind"), F.col("g.id").alias("a"), F.col("x.id").alias("b"), F.lit(0).alias("distance")).distinct()
     return near.union(same)
 
 

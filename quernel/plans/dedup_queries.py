@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, similarity
-from ..session import table
+from ..session import spread, table
 from . import fragments as S
 from .catalogue import query
 
@@ -19,7 +19,8 @@ def docs(spark, d, *columns):
 
 @query(f"SELECT doc_id, first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS representative_id FROM (SELECT doc_id, {S.key('text')} AS k FROM documents)")
 def dedup_exact(spark, d):
-    return dedup.first_by_key(docs(spark, d, "doc_id", "text").select("doc_id", T.content_hash(F.coalesce("text", F.lit(""))).alias("k")), "k", ["doc_id"], "doc_id").select("doc_id", "representative_id")
+    keyed = T.composed(spread(docs(spark, d, "doc_id", "text")), "text").select("doc_id", F.sha2(T.composed_key(F.col("text")), 256).alias("k"))
+    return dedup.first_by_key(keyed, "k", ["doc_id"], "doc_id").select("doc_id", "representative_id")
 
 
 @query(f"SELECT doc_id, first_value(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS representative_id FROM (SELECT doc_id, array_to_string(({S.words('text', TOKENS)})[1:24], ' ') AS k FROM documents)")
@@ -76,34 +77,60 @@ def residual_duplicates(spark, d):
     return docs(spark, d, "text").groupBy(T.content_hash(F.coalesce("text", F.lit(""))).alias("h")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-_SH = f"""SELECT doc_id, len(s) AS n, unnest(s) AS x FROM (SELECT doc_id, list_distinct({S.shingled('w', 5)}) AS s FROM (SELECT doc_id, {S.words('text', TOKENS)} AS w FROM documents))"""
+# shingle sets, the first of each class of equal sets, and the links between these
+_SETS = f"""x AS (SELECT doc_id, list_sort(list_distinct({S.shingled('w', 5)})) AS s FROM (SELECT doc_id, {S.words('text', TOKENS)} AS w FROM documents)), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS first, s FROM x),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM m WHERE doc_id = first), j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)"""
+_LINKS = "SELECT 'link' AS kind, a, b, round(jaccard, 9) AS jaccard FROM j WHERE jaccard >= 0.85 UNION ALL SELECT 'copy', first, doc_id, 1.0 FROM m WHERE doc_id != first"
 
 
-@query(f"""WITH s AS ({_SH}) SELECT a.doc_id AS a, b.doc_id AS b, round(count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)), 9) AS jaccard FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id
-GROUP BY a.doc_id, b.doc_id HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.85""")
+def _greedy_sql(links: str, before: str) -> str:
+    """Links (kind, a, b) resolved in order: one step per node with a link."""
+    return f"""WITH RECURSIVE {before}, l AS ({links}), e AS (SELECT a, b FROM l WHERE kind = 'link'), v AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM (SELECT a AS id FROM e UNION SELECT b FROM e)),
+n AS (SELECT v.i, v.id, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS earlier FROM v LEFT JOIN e ON e.b = v.id GROUP BY v.i, v.id),
+g(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.i, CASE WHEN list_has_any(g.kept, n.earlier) THEN g.kept ELSE list_append(g.kept, n.id) END FROM g JOIN n ON n.i = g.i + 1),
+k AS (SELECT kept FROM g ORDER BY i DESC LIMIT 1), d AS (SELECT id, list_contains(kept, id) AS kept, CASE WHEN list_contains(kept, id) THEN id ELSE list_min(list_intersect(kept, earlier)) END AS representative_id FROM n, k)
+SELECT * FROM d UNION ALL SELECT l.b, false, coalesce(d.representative_id, l.a) FROM l LEFT JOIN d ON d.id = l.a WHERE l.kind = 'copy' UNION ALL SELECT DISTINCT a, true, a FROM l WHERE kind = 'copy' AND a NOT IN (SELECT id FROM d)"""
+
+
+@query(f"WITH {_SETS} {_LINKS}")
 def jaccard_pairs(spark, d):
-    return similarity.jaccard_pairs(docs(spark, d, "doc_id", "text")).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    """Links between the first of each class of equal sets, and copies of these."""
+    return similarity.jaccard_links(spread(docs(spark, d, "doc_id", "text"))).select("kind", "a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query()
+@query(_greedy_sql(_LINKS, _SETS))
 def dedup_jaccard_greedy(spark, d):
-    return dedup.greedy(similarity.jaccard_pairs(docs(spark, d, "doc_id", "text")))
+    return dedup.greedy_links(similarity.jaccard_links(spread(docs(spark, d, "doc_id", "text"))))
+
+
+# SimHash over md5, as SQL has it
+_SIM = rf"""q AS (SELECT doc_id, i, md5_number_upper(s[i]) AS h FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {S.shingled('w', 5)} AS s FROM (SELECT doc_id, {S.words('text', chr(92) + 'p{L}+')} AS w FROM documents)))),
+t AS (SELECT doc_id, bit, 2 * sum(((h >> bit) & 1)::BIGINT) >= count(*) AS one FROM q, (SELECT unnest(range(64))::UBIGINT AS bit) GROUP BY doc_id, bit), z AS (SELECT doc_id, sum(CASE WHEN one THEN (1::UBIGINT << bit) ELSE 0 END)::UBIGINT AS h FROM t GROUP BY doc_id),
+h AS (SELECT d.doc_id AS id, coalesce(z.h, 0) AS h FROM documents d LEFT JOIN z USING (doc_id)), f AS (SELECT h, min(id) AS id FROM h GROUP BY h)"""
+_NEAR = "SELECT 'link' AS kind, a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM f a JOIN f b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 3 UNION ALL SELECT 'copy', f.id, h.id, 0 FROM h JOIN f USING (h) WHERE f.id < h.id"
+
+
+def _simhashes(spark, d):
+    return similarity.simhash(spread(docs(spark, d, "doc_id", "text")), hasher="md5")
 
 
-@query()
+@query(f"WITH {_SIM} {_NEAR}")
 def simhash_pairs(spark, d):
-    return similarity.simhash_pairs(similarity.simhash(docs(spark, d, "doc_id", "text")))
+    return similarity.simhash_pairs(_simhashes(spark, d))
 
 
-@query()
+@query(_greedy_sql(f"SELECT kind, a, b FROM ({_NEAR})", _SIM))
 def dedup_simhash_greedy(spark, d):
-    return dedup.greedy(similarity.simhash_pairs(similarity.simhash(docs(spark, d, "doc_id", "text"))))
+    return dedup.greedy_links(similarity.simhash_pairs(_simhashes(spark, d)))
 
 
-@query(f"SELECT doc_id FROM documents WHERE {S.key('text')} IN (SELECT {S.key('text')} FROM eval_items)")
+@query(f"SELECT doc_id FROM documents WHERE {S.key('text')} IN (SELECT {S.key('text')} FROM eval_items UNION SELECT {S.key('text')} FROM documents WHERE doc_id IN (SELECT document_id FROM rejected_documents))")
 def decontam_exact(spark, d):
-    items = table(spark, d, "eval_items", "text").select(T.content_hash(F.col("text")).alias("k")).distinct()
-    return docs(spark, d, "doc_id", "text").withColumn("k", T.content_hash(F.coalesce("text", F.lit("")))).join(items, "k", "left_semi").select("doc_id")
+    """Documents whose text is that of an evaluation item or of a document that an older run refused."""
+    keyed = T.composed(spread(docs(spark, d, "doc_id", "text")), "text").select("doc_id", F.sha2(T.composed_key(F.col("text")), 256).alias("k"))
+    refused = table(spark, d, "rejected_documents", F.col("document_id").alias("doc_id")).distinct()
+    blocked = table(spark, d, "eval_items", "text").select(T.content_hash(F.col("text")).alias("k")).union(keyed.join(refused, "doc_id", "left_semi").select("k")).distinct()
+    return keyed.join(blocked, "k", "left_semi").select("doc_id")
 
 
 _LONG = f"SELECT k FROM (SELECT {S.key('text')} AS k FROM eval_items UNION SELECT {S.key('prompt')} FROM eval_items) WHERE length(k) >= 40"

@@ -35,7 +35,7 @@ def inventory(docs: DataFrame, items: DataFrame, threshold: float = 0.85, min_ch
     third = cut_lineage(second.where("reason is null").select("doc_id", "h").join(leaked, "h", "left").join(holding, "doc_id", "left").select("doc_id", "h", F.coalesce("leaked", "holds").alias("leaked")))
     exact = dedup.first_by_key(third.where("leaked is null").select("doc_id", "h"), "h", ["doc_id"], "doc_id")
     clean = cut_lineage(second.where("reason is null").join(exact.where("doc_id = representative_id").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text"))
-    near = dedup.greedy(similarity.jaccard_pairs(clean, threshold=threshold)).where("not kept")
+    near = dedup.greedy_links(similarity.jaccard_links(clean, threshold=threshold)).where("not kept")
 
     none = F.lit(None).cast("long")
     out = refused.select("doc_id", "reason", none.alias("representative_id")).union(second.where("reason is not null").select("doc_id", "reason", none)).union(third.where("leaked").select("doc_id", F.lit("evaluation_contamination"), none))

@@ -80,7 +80,10 @@ def round_robin(spark, d):
     return top.select(F.row_number().over(Window.orderBy("rn", "source")).cast("long").alias("pos"), "doc_id")  # at most 60 rows
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+g(source, i, doc_id, total, picked) AS (SELECT DISTINCT source, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM o UNION ALL
+SELECT o.source, o.i, o.doc_id, CASE WHEN ok THEN total + n_chars ELSE total END, ok FROM (SELECT o.*, g.total, g.total < 20000 AND g.total + o.n_chars <= 21000 AS ok FROM g JOIN o ON g.source IS NOT DISTINCT FROM o.source AND o.i = g.i + 1) o)
+SELECT source, doc_id, total AS running FROM g WHERE picked""")
 def budget_skip(spark, d):
     return select.budget(docs(spark, d, "source", "doc_id", "n_chars"), 20_000, 21_000, size="n_chars")
 
@@ -107,7 +110,12 @@ def quota_scale(spark, d):
     return q.withColumn("k", k).withColumn("missing", 100 - F.sum("base").over(every)).select("source", (F.col("base") + F.when(F.col("k") <= F.col("missing"), 1).otherwise(0)).alias("quota"))
 
 
-@query()
+_PACKED = f"""o AS (SELECT split, doc_id, n_chars, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS i FROM (SELECT doc_id, n_chars, CASE WHEN b < 98 THEN 'train' WHEN b < 99 THEN 'validation' ELSE 'eval' END AS split FROM (SELECT doc_id, n_chars, {S.hash_bucket(_ID, 100)} AS b FROM documents))),
+g(split, i, doc_id, shard, s, e) AS (SELECT split, i, doc_id, 0, 0::BIGINT, n_chars FROM o WHERE i = 1 UNION ALL SELECT o.split, o.i, o.doc_id, CASE WHEN g.e > 0 AND g.e + o.n_chars > 50000 THEN g.shard + 1 ELSE g.shard END, CASE WHEN g.e > 0 AND g.e + o.n_chars > 50000 THEN 0 ELSE g.e END, CASE WHEN g.e > 0 AND g.e + o.n_chars > 50000 THEN 0 ELSE g.e END + o.n_chars
+FROM g JOIN o ON g.split = o.split AND o.i = g.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {_PACKED} SELECT split, doc_id, shard, s AS start_offset, e AS end_offset FROM g")
 def pack_next_fit(spark, d):
     """Shards of 50,000 characters; a longer document has a shard of its own."""
     b = T.hash_bucket(F.col("doc_id").cast("string"), 100)
@@ -115,10 +123,13 @@ def pack_next_fit(spark, d):
     return select.pack(sized, 50_000, size="n_chars", oversize="own")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PACKED}, f AS (SELECT *, s != coalesce(lag(e) OVER (PARTITION BY split, shard ORDER BY s, e), 0) AS broken FROM g WHERE doc_id NOT IN (SELECT document_id FROM rejected_documents WHERE document_id IS NOT NULL))
+SELECT split, shard, count(*) AS docs, max(e) AS tokens, count(*) FILTER (broken) AS gaps FROM f GROUP BY ALL""")
 def boundary_check(spark, d):
-    """Gaps in the packing: none."""
-    return select.gaps(pack_next_fit(spark, d), ["split", "shard"])
+    """Documents, size and gaps of each shard of a packing that lost the documents which an older run refused."""
+    packed = pack_next_fit(spark, d).join(table(spark, d, "rejected_documents", F.col("document_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    gaps = select.gaps(packed, ["split", "shard"]).groupBy("split", "shard").agg(F.count("*").alias("gaps"))
+    return packed.groupBy("split", "shard").agg(F.count("*").alias("docs"), F.max("end_offset").alias("tokens")).join(gaps, ["split", "shard"], "left").fillna(0, ["gaps"])
 
 
 _SPANS = "SELECT lang, source, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS e FROM documents"

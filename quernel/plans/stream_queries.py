@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..streaming import resume
+from . import fragments as S
 from .catalogue import query
 
 
@@ -12,7 +13,7 @@ def event_hours(spark, d):
     return resume.hourly_counts(spark, d)
 
 
-@query()
+@query(f"SELECT DISTINCT sha256({S.key('text')}) AS h FROM documents")
 def stream_resume_dedup(spark, d):
     """Hashes of documents not seen in earlier batches, with the state kept in the checkpoint."""
     return resume.deduplicated_stream(spark, d)

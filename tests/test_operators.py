@@ -75,6 +75,40 @@ def test_greedy_is_the_ordered_pass(spark):
         assert got[n] == (not hit, min(hit) if hit else n)
 
 
+def test_greedy_in_rounds_and_along_chains(spark):
+    rng = random.Random(7)
+    edges = sorted({tuple(sorted(rng.sample(range(300), 2))) for _ in range(900)})
+    df = spark.createDataFrame(edges, "a long, b long")
+    rounds = {(r.id, r.kept, r.representative_id) for r in dedup.greedy(df, fold_edges=5).collect()}
+    assert rounds == {(r.id, r.kept, r.representative_id) for r in dedup.greedy(df).collect()}
+    chain = spark.range(1000).selectExpr("id AS a", "id + 1 AS b")
+    assert {r.id for r in dedup.greedy(chain).where("kept").collect()} == set(range(0, 1001, 2))
+
+
+def test_ten_thousand_copies(spark):
+    text = "one notice of ten words that all of these hold " * 3
+    df = spark.range(10_000).selectExpr("id AS doc_id", f"'{text}' AS text").unionByName(spark.createDataFrame([(20_000, text + "more")], "doc_id long, text string"))
+    links = similarity.jaccard_links(df, threshold=0.6)
+    rows = links.collect()
+    assert len(rows) == 10_000 and {(r.kind, r.a) for r in rows} == {("copy", 0), ("link", 0)}
+    done = {r.id: (r.kept, r.representative_id) for r in dedup.greedy_links(links).collect()}
+    assert done[0] == (True, 0) and done[20_000] == (False, 0) and done[9_999] == (False, 0) and len(done) == 10_001
+
+
+def test_simhash_takes_the_projects_hash(spark):
+    import hashlib
+
+    words = "one two three four five six seven".split()
+    votes = [0] * 64
+    for i in range(3):
+        h = int.from_bytes(hashlib.blake2b(" ".join(words[i : i + 5]).encode(), digest_size=8).digest(), "big")
+        for bit in range(64):
+            votes[bit] += 1 if h >> bit & 1 else -1
+    want = sum(1 << bit for bit in range(64) if votes[bit] >= 0)
+    got = similarity.simhash(spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None)], "doc_id long, text string")).collect()
+    assert {r.id: r.h & (2**64 - 1) for r in got} == {1: want, 2: 0, 3: 0}
+
+
 def test_greedy_without_edges(spark):
     assert dedup.greedy(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -102,8 +136,14 @@ def test_jaccard_pairs_misses_none(spark, threshold):
         texts[i] = " ".join(w)
     texts |= {60: None, 61: "", 62: "w1", 63: "w1", 64: "!!"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {(r.a, r.b) for r in similarity.jaccard_pairs(df, threshold=threshold).collect()}
-    assert got == brute(texts, 5, threshold) | {(60, 61), (60, 64)}
+    rows = similarity.jaccard_links(df, threshold=threshold).collect()
+    classes = {}
+    for r in rows:
+        if r.kind == "copy":
+            classes.setdefault(r.a, {r.a}).add(r.b)
+    got = {p for c in classes.values() for p in itertools.combinations(sorted(c), 2)}
+    got |= {tuple(sorted((x, y))) for r in rows if r.kind == "link" for x in classes.get(r.a, {r.a}) for y in classes.get(r.b, {r.b})}
+    assert got == brute(texts, 5, threshold) | set(itertools.combinations((60, 61, 64), 2))
 
 
 def test_simhash_pairs_misses_none(spark):
