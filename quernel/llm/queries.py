@@ -109,9 +109,24 @@ s AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM (SELECT doc_id, list_disti
 j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)"""
 
 
+# tokens of every text: from each place of a distinct word the longest piece that fits, else the bytes of a character
+_TOKENS = r"""p AS (SELECT DISTINCT piece FROM tokenizer_pieces WHERE kind = 'normal' AND piece != ''), k AS (SELECT unnest(range(1, (SELECT max(length(piece)) FROM p) + 1)) AS k),
+d AS (SELECT doc_id, ext_id, source, lang, category, token_count, string_split_regex(text, '[ \t\r\n]+') AS ws FROM documents), w AS (SELECT DISTINCT unnest(ws) AS word FROM d),
+r(word, rest, n) AS (SELECT word, '▁' || word, 0 FROM w WHERE word != '' UNION ALL
+SELECT word, substr(rest, coalesce(longest, 1) + 1), n + CASE WHEN longest IS NULL THEN strlen(substr(rest, 1, 1)) ELSE 1 END FROM (SELECT r.word, r.rest, r.n, max(CASE WHEN p.piece IS NOT NULL THEN k.k END) AS longest FROM r CROSS JOIN k LEFT JOIN p ON p.piece = substr(r.rest, 1, k.k) WHERE r.rest != '' GROUP BY ALL)),
+c AS (SELECT word, n FROM r WHERE rest = ''), s AS (SELECT doc_id, sum(coalesce(n, 0))::BIGINT + 1 AS n_tokens FROM (SELECT doc_id, unnest(ws) AS word FROM d) LEFT JOIN c USING (word) GROUP BY doc_id)"""
+_LAST = "l AS (SELECT ext_id, max_by(struct_pack(a := source_id, b := language, c := category), loaded_at) AS e FROM extracted_documents GROUP BY ext_id)"
+
+
 def oracle_sql() -> dict[str, str]:
-    # by definition, without the method: shared shingles of every pair
+    # by definition, without the method: shared shingles of every pair; tokens one by one
     return {
+        "p2_counts": f"WITH RECURSIVE {_TOKENS} SELECT doc_id, n_tokens FROM s",
+        "p2_found": f"WITH RECURSIVE {_TOKENS} SELECT doc_id FROM s JOIN d USING (doc_id) WHERE token_count IS NULL OR abs(token_count - n_tokens) > 0.05 * n_tokens",
+        "p2_totals": f"""WITH RECURSIVE {_TOKENS}, {_LAST}, f AS (SELECT CASE WHEN e IS NULL THEN source ELSE e.a END AS source, CASE WHEN e IS NULL THEN lang ELSE e.b END AS lang, CASE WHEN e IS NULL THEN category ELSE e.c END AS category, n_tokens FROM s JOIN d USING (doc_id) LEFT JOIN l ON l.ext_id = d.ext_id)
+SELECT CASE grouping(source, lang, category) WHEN 0 THEN 'slice' WHEN 3 THEN 'source' WHEN 5 THEN 'lang' WHEN 6 THEN 'category' ELSE 'all' END AS level, source, lang, category, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM f GROUP BY GROUPING SETS ((source, lang, category), (source), (lang), (category), ())""",
+        "p8_found": f"""WITH RECURSIVE {_TOKENS}, t AS (SELECT source, sum(n_tokens) AS n FROM s JOIN d USING (doc_id) GROUP BY source), a AS (SELECT sum(n) AS n FROM t)
+SELECT m.mix_id, m.source FROM mix_targets m LEFT JOIN t ON t.source = m.source, a WHERE coalesce(t.n, 0) * m.max_repeats < m.target_share * m.budget_ratio * a.n""",
         "p4_found": f"""WITH {_CLASSES} SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM m x JOIN m y ON x.rep = y.rep AND x.doc_id < y.doc_id
 UNION SELECT least(x.doc_id, y.doc_id), greatest(x.doc_id, y.doc_id) FROM j JOIN m x ON x.rep = j.a JOIN m y ON y.rep = j.b WHERE similarity >= 0.6""",
         "p4_links": f"""WITH {_CLASSES} SELECT 'copy' AS kind, rep AS doc_id_a, doc_id AS doc_id_b, 1.0::DOUBLE AS similarity FROM m WHERE doc_id != rep UNION ALL SELECT 'link', a, b, round(similarity, 6) FROM j WHERE similarity >= 0.6""",
