@@ -123,9 +123,15 @@ def pack_next_fit(spark, d):
     return select.pack(sized, 50_000, size="n_chars", oversize="own")
 
 
+@query(f"""WITH RECURSIVE {_PACKED}, f AS (SELECT split, doc_id, shard, s AS start_offset, e AS end_offset, coalesce(lag(e) OVER (PARTITION BY split, shard ORDER BY s), 0)::BIGINT AS expected FROM g) SELECT * FROM f WHERE expected != start_offset""")
+def boundary_check(spark, d):
+    """Gaps in the packing: none."""
+    return select.gaps(pack_next_fit(spark, d), ["split", "shard"])
+
+
 @query(f"""WITH RECURSIVE {_PACKED}, f AS (SELECT *, s != coalesce(lag(e) OVER (PARTITION BY split, shard ORDER BY s, e), 0) AS broken FROM g WHERE doc_id NOT IN (SELECT document_id FROM rejected_documents WHERE document_id IS NOT NULL))
 SELECT split, shard, count(*) AS docs, max(e) AS tokens, count(*) FILTER (broken) AS gaps FROM f GROUP BY ALL""")
-def boundary_check(spark, d):
+def boundary_report(spark, d):
     """Documents, size and gaps of each shard of a packing that lost the documents which an older run refused."""
     packed = pack_next_fit(spark, d).join(table(spark, d, "rejected_documents", F.col("document_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
     gaps = select.gaps(packed, ["split", "shard"]).groupBy("split", "shard").agg(F.count("*").alias("gaps"))
