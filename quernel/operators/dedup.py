@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold, content_key, lines, squeeze, words
+from ..functions.text import MAY_COMPOSE, casefold, composed_key, content_key, lines, squeeze, words
 from ..session import cut_lineage
 
 
@@ -28,7 +28,9 @@ def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def paragraph_owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 80) -> DataFrame:
     """(id, idx, h, n_chars, first_in_doc, owner_id): whether a paragraph is the first of its kind within its document,
     and for those of at least ``min_chars`` characters the first document, by id, that has it (null for shorter)."""
-    p = paragraphs(df, id_col, text_col).withColumn("h", F.sha2(content_key(F.col("paragraph")), 256)).withColumn("n_chars", F.length("paragraph"))
+    may = F.coalesce(F.col(text_col).rlike(MAY_COMPOSE), F.lit(False))  # only texts that may need composing pass through Python
+    keyed = lambda part, key: paragraphs(part, id_col, text_col).withColumn("h", F.sha2(key(F.col("paragraph")), 256))
+    p = keyed(df.where(~may), composed_key).union(keyed(df.where(may), content_key)).withColumn("n_chars", F.length("paragraph"))
     within = F.min("idx").over(Window.partitionBy(id_col, "h"))
     owner = p.where(F.col("n_chars") >= min_chars).groupBy("h").agg(F.min(id_col).alias("_owner"))
     return p.withColumn("first_in_doc", F.col("idx") == within).join(owner, "h", "left").select(id_col, "idx", "h", "n_chars", "first_in_doc", F.when(F.col("n_chars") >= min_chars, F.col("_owner")).alias("owner_id"))

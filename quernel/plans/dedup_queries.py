@@ -46,7 +46,7 @@ def paragraphs(spark, d):
 @query(f"""SELECT doc_id, idx::INTEGER AS idx, idx = min(idx) OVER (PARTITION BY doc_id, h) AS first_in_doc, CASE WHEN n >= 80 THEN min(CASE WHEN n >= 80 THEN doc_id END) OVER (PARTITION BY h) END AS owner_id
 FROM (SELECT doc_id, idx, length(paragraph) AS n, sha256({S.key('paragraph')}) AS h FROM ({_PARAS}))""")
 def paragraph_owners(spark, d):
-    return dedup.paragraph_owners(docs(spark, d, "doc_id", "text")).select("doc_id", "idx", "first_in_doc", "owner_id")
+    return dedup.paragraph_owners(spread(docs(spark, d, "doc_id", "text"))).select("doc_id", "idx", "first_in_doc", "owner_id")
 
 
 _LINES = f"SELECT doc_id, i - 1 AS lineno, l[i] AS line FROM (SELECT doc_id, {S.lines('text')} AS l, unnest(range(1, len(l) + 1)) AS i FROM documents)"
@@ -147,7 +147,7 @@ _RUN8 = lambda t, k: f"SELECT {k}, unnest(list_distinct({S.shingled('w', 8)})) A
 
 @query(f"WITH d AS ({_RUN8('documents', 'doc_id')}), i AS ({_RUN8('eval_items', 'item_id')}) SELECT item_id, doc_id, count(*) AS hits FROM d JOIN i USING (run) GROUP BY ALL")
 def ngram_overlap(spark, d):
-    return similarity.ngram_overlap(docs(spark, d, "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+    return similarity.ngram_overlap(spread(docs(spark, d, "doc_id", "text")), table(spark, d, "eval_items", "item_id", "text"))
 
 
 _SNIP = "SELECT item_id, 'text' AS field, text AS snippet FROM eval_items UNION SELECT item_id, 'prompt', prompt FROM eval_items UNION SELECT item_id, 'keyword', unnest(expected_keywords) FROM eval_items"

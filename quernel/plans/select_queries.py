@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, select
-from ..session import cut_lineage, table
+from ..session import cut_lineage, spread, table
 from . import fragments as S
 from .catalogue import query
 
@@ -31,7 +31,8 @@ _RANK = f"sha256('{SEED}:' || {_ID})"
 @query(f"SELECT doc_id, CASE WHEN b < 9800 THEN 'train' WHEN b < 9900 THEN 'validation' ELSE 'eval' END AS split FROM (SELECT doc_id, {S.hash_bucket(f'{chr(39)}{SEED}{chr(39)} || chr(10) || c::VARCHAR', 10000)} AS b FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {S.key('text')}) AS c FROM documents))")
 def split_hash(spark, d):
     """Split by hash of the duplicate class, so copies never cross splits."""
-    rep = dedup.first_by_key(docs(spark, d, "doc_id", "text").select("doc_id", T.content_hash(F.coalesce("text", F.lit(""))).alias("k")), "k", ["doc_id"], "doc_id")
+    keyed = T.composed(spread(docs(spark, d, "doc_id", "text")), "text").select("doc_id", F.sha2(T.composed_key(F.col("text")), 256).alias("k"))
+    rep = dedup.first_by_key(keyed, "k", ["doc_id"], "doc_id")
     b = T.hash_bucket(F.concat(F.lit(SEED + "\n"), F.col("representative_id").cast("string")), 10_000)
     return rep.select("doc_id", F.when(b < 9800, "train").when(b < 9900, "validation").otherwise("eval").alias("split"))
 
