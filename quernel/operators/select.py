@@ -60,11 +60,11 @@ def quota_fill(df: DataFrame, group: str, id_col: str, counts: dict[str, int], t
     return first.withColumn("part", F.lit("quota")).union(fill.withColumn("part", F.lit("fill")))
 
 
-def _folded(df: DataFrame, group: str, order: str, size: str, step, more: list[tuple[str, pa.DataType]]) -> DataFrame:
+def _folded(df: DataFrame, group: str, order: str, size: str, step, more: list[tuple[str, pa.DataType]], sort: list[str] | None = None) -> DataFrame:
     """Run a fold over the rows of each group in order: ``step(state, sizes)`` gets the sizes of the next rows as an array
     and returns the places of the rows that come out and their further columns. A fold depends on every row before, so
     one task walks a group; only its id, order and size are read, batch by batch, in arrays, and one state is held. Rows
-    with a null size are left out."""
+    with a null size are left out. The order is that of ``order``, the id, or of the columns of ``sort`` before it."""
     fields = pa.schema([(group, pa.string()), (order, pa.int64()), *more])
 
     def run(batches):
@@ -82,14 +82,14 @@ def _folded(df: DataFrame, group: str, order: str, size: str, step, more: list[t
                     taken = pa.array(places + low)
                     yield pa.RecordBatch.from_arrays([names.take(taken), ids.take(taken), *[pa.array(c, kind) for c, (_, kind) in zip(columns, more, strict=True)]], schema=fields)
 
-    rows = df.select(F.col(group).cast("string").alias(group), F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size)).where(F.col(size).isNotNull())
+    rows = df.select(F.col(group).cast("string").alias(group), F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size), *(sort or [])).where(F.col(size).isNotNull())
     kinds = {pa.int32(): "int", pa.int64(): "long"}
-    return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, f"`{group}` string, `{order}` long, " + ", ".join(f"{n} {kinds[k]}" for n, k in more))
+    return rows.repartition(group).sortWithinPartitions(group, *(sort or []), order).select(group, order, size).mapInArrow(run, f"`{group}` string, `{order}` long, " + ", ".join(f"{n} {kinds[k]}" for n, k in more))
 
 
-def budget(df: DataFrame, target: int, maximum: int, group: str = "source", order: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+def budget(df: DataFrame, target: int, maximum: int, group: str = "source", order: str = "doc_id", size: str = "n_tokens", sort: list[str] | None = None) -> DataFrame:
     """(group, id, running): rows picked per group in order until the sum reaches ``target``; a row that would pass
-    ``maximum`` is skipped, later smaller ones may still fit. Null sizes are skipped."""
+    ``maximum`` is skipped, later smaller ones may still fit. Null sizes are skipped. ``sort``: columns that order rows before the id."""
 
     def step(state: dict, sizes: np.ndarray):
         total, places, sums = state.get("total", 0), [], []
@@ -108,7 +108,7 @@ def budget(df: DataFrame, target: int, maximum: int, group: str = "source", orde
         none = np.empty(0, np.int64)
         return (np.concatenate(places), [np.concatenate(sums)]) if places else (none, [none])
 
-    return _folded(df, group, order, size, step, [("running", pa.int64())])
+    return _folded(df, group, order, size, step, [("running", pa.int64())], sort)
 
 
 def pack(df: DataFrame, capacity: int, group: str = "split", order: str = "doc_id", size: str = "n_tokens", oversize: str = "skip") -> DataFrame:

@@ -107,6 +107,19 @@ def simhash_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
     return near.union(same)
 
 
+def simhash_matches(left: DataFrame, right: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, b, distance): rows of two tables of hashes at most three bits apart. Equal hashes are joined as one first."""
+    if distance > 3:
+        raise ValueError("six bands find up to three bits")
+    keyed = lambda df: df.select("h").distinct().select("h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in _MASKS])).alias("band", "v"))
+    x, y = keyed(left).alias("x"), keyed(right).alias("y")
+    apart = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v"))).where(apart <= distance).select(F.col("x.h").alias("hx"), F.col("y.h").alias("hy"), apart.cast("int").alias("distance")).distinct()
+    a = left.select(F.col("h").alias("hx"), F.col("id").alias("a"))
+    b = right.select(F.col("h").alias("hy"), F.col("id").alias("b"))
+    return near.join(a, "hx").join(b, "hy").select("a", "b", "distance")
+
+
 def ngram_overlap(docs: DataFrame, items: DataFrame, n: int = 8, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """(item_id, doc_id, hits): distinct runs of ``n`` words of an item that a document holds. An equi-join on the
     hash of the run, then on the run itself."""
