@@ -23,29 +23,23 @@ def unique_budget(df: DataFrame, target: int, maximum: int, source: str = "sourc
     A source depends on the picks of those before it, so there are as many rounds as sources (at most ``MAX_SOURCES``);
     within one, contents are told apart by an aggregate and only ids and sizes go through the ordered fold.
     """
-    rows = cut_lineage(df.where(F.col(source).isNotNull() & F.col(id_col).isNotNull() & F.col(content).isNotNull()).select(F.col(source).alias("s"), F.col(id_col).cast("long").alias("id"), F.col(size).cast("long").alias("n"), F.col(content).alias("h"), F.col(order).alias("k")))
-    names = [r.s for r in rows.select("s").distinct().orderBy("s").limit(MAX_SOURCES + 1).collect()]
+    rows = df.where(F.col(source).isNotNull() & F.col(id_col).isNotNull() & F.col(content).isNotNull()).select(F.col(source).alias("s"), F.col(id_col).cast("long").alias("id"), F.col(size).cast("long").alias("n"), F.col(content).alias("h"), F.col(order).alias("k"))
+    # of equal contents of a source the first in order is the one that may be picked: what doesn't fit then never fits later
+    first = cut_lineage(rows.groupBy("s", "h").agg(F.min(F.struct("k", "id", "n")).alias("f")).select("s", "h", "f.*"))
+    names = [r.s for r in first.select("s").distinct().orderBy("s").limit(MAX_SOURCES + 1).collect()]
     if len(names) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    seen = picked = refused = None
+    picked = None
     for name in names:
-        own = rows.where(F.col("s") == name)
-        if seen is not None:
-            lost = own.join(seen, "h").select("s", "id", "representative_id")
-            refused = lost if refused is None else refused.union(lost)
-            own = own.join(seen, "h", "left_anti")
-        # of equal contents the first in order is the one that may be picked: what doesn't fit then never fits later
-        first = own.groupBy("h").agg(F.min(F.struct("k", "id", "n")).alias("f")).select("h", F.col("f.k").alias("k"), F.col("f.id").alias("id"), F.col("f.n").alias("n"))
-        ranked = first.withColumn("s", F.lit(name))
-        got = cut_lineage(budget(ranked, target, maximum, group="s", order="id", size="n", sort=["k"]))
-        new = got.join(first.select("id", "h"), "id").select("h", F.col("id").alias("representative_id"))
-        seen = new if seen is None else seen.union(new)
-        if len(names) > 1:
-            seen = cut_lineage(seen)
+        own = first.where(F.col("s") == name)
+        if picked is not None:
+            own = own.join(picked.select("h"), "h", "left_anti")
+        got = cut_lineage(budget(own, target, maximum, group="s", order="id", size="n", sort=["k"]).join(own.select("id", "h"), "id").select("s", "id", "running", "h"))
         picked = got if picked is None else picked.union(got)
-    spark = df.sparkSession
-    picked = picked if picked is not None else spark.createDataFrame([], "s string, id long, running long")
-    refused = refused if refused is not None else spark.createDataFrame([], "s string, id long, representative_id long")
+    if picked is None:
+        picked = df.sparkSession.createDataFrame([], "s string, id long, running long, h string")
+    # contents are picked once, so each names its pick; a source by a later name is refused what an earlier one has
+    refused = rows.join(picked.select("h", F.col("s").alias("by"), F.col("id").alias("representative_id")), "h").where("by < s")
     return picked.select(F.col("s").alias(source), F.col("id").alias(id_col), "running"), refused.select(F.col("s").alias(source), F.col("id").alias(id_col), "representative_id")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..functions import markup
 from ..functions import sequences as Q
 from ..functions import text as T
 from ..operators import chat, health, instruct
@@ -50,6 +51,15 @@ def wiki_pilot(spark, d):
     return spread(table(spark, d, "extracted_documents", "ext_id", "title", "source_id", "category", "text")).select("ext_id", F.sha2(C.wiki_pilot(m), 256).alias("h")).distinct()
 
 
+@query(f"""SELECT ext_id, sha256(array_to_string(list_filter(list_transform(string_split(coalesce(title, 'x') || chr(10) || text, chr(10)), lambda x: {S.ends("regexp_replace(x, '[ " + chr(92) + "t" + chr(92) + "r" + chr(92) + "f" + chr(92) + "x0B]+', ' ', 'g')")}), lambda x: x != ''), chr(10))) AS h FROM (SELECT DISTINCT ext_id, title, text FROM extracted_documents)""")
+def html_text(spark, d):
+    """Readable text of every document set in a page with a menu, scripts and a footer."""
+    escaped = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<!DOCTYPE html><html><head><style>p > a { }</style></head><body><nav>menu <form>find</form></nav><h1 title='a > b'>"), escaped(F.coalesce("title", F.lit("x"))), F.lit("</h1><script>if (a < b) { }</script><p>"), escaped(F.col("text")), F.lit("</p><!-- note --><footer>end</footer></body></html>"))
+    pages = spread(table(spark, d, "extracted_documents", "ext_id", "title", "text").distinct())
+    return pages.select("ext_id", F.sha2(markup.html_text(page), 256).alias("h"))
+
+
 @query(rf"SELECT doc_id, i - 1 AS n, sha256(c[i]) AS h FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\.{S.SP}{{2,}}', '.' || chr(10) || chr(10), 'g'), '\n[\t\n\x0B\f\r ]*\n'), lambda x: {S.squeeze('x')}), lambda x: length(x) >= 40) AS c FROM documents))")
 def paragraph_chunks(spark, d):
     return spread(docs(spark, d, "doc_id", "text")).select("doc_id", F.posexplode(C.chunks(F.col("text"))).alias("n", "c")).select("doc_id", F.col("n").cast("long").alias("n"), F.sha2("c", 256).alias("h"))

@@ -86,7 +86,7 @@ _LINKS = "SELECT 'link' AS kind, a, b, round(jaccard, 9) AS jaccard FROM j WHERE
 def _greedy_sql(links: str, before: str) -> str:
     """Links (kind, a, b) resolved in order: one step per node with a link."""
     return f"""WITH RECURSIVE {before}, l AS ({links}), e AS (SELECT a, b FROM l WHERE kind = 'link'), v AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM (SELECT a AS id FROM e UNION SELECT b FROM e)),
-n AS (SELECT v.i, v.id, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS earlier FROM v LEFT JOIN e ON e.b = v.id GROUP BY v.i, v.id),
+n AS MATERIALIZED (SELECT v.i, v.id, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS earlier FROM v LEFT JOIN e ON e.b = v.id GROUP BY v.i, v.id),
 g(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.i, CASE WHEN list_has_any(g.kept, n.earlier) THEN g.kept ELSE list_append(g.kept, n.id) END FROM g JOIN n ON n.i = g.i + 1),
 k AS (SELECT kept FROM g ORDER BY i DESC LIMIT 1), d AS (SELECT id, list_contains(kept, id) AS kept, CASE WHEN list_contains(kept, id) THEN id ELSE list_min(list_intersect(kept, earlier)) END AS representative_id FROM n, k)
 SELECT * FROM d UNION ALL SELECT l.b, false, coalesce(d.representative_id, l.a) FROM l LEFT JOIN d ON d.id = l.a WHERE l.kind = 'copy' UNION ALL SELECT DISTINCT a, true, a FROM l WHERE kind = 'copy' AND a NOT IN (SELECT id FROM d)"""

@@ -20,7 +20,7 @@ def docs(spark, d, *columns):
 
 _K = f"sha256('{SEED}:' || {_ID})"
 # rows in order of source and seeded hash, one after the other: what was picked, and the sum of the current source
-_UNIQUE = f"""o AS (SELECT source, doc_id, n_chars, h, row_number() OVER (ORDER BY source, k, doc_id) AS i FROM (SELECT source, doc_id, n_chars, sha256({S.key('text')}) AS h, {_K} AS k FROM documents WHERE source IS NOT NULL)),
+_UNIQUE = f"""o AS MATERIALIZED (SELECT source, doc_id, n_chars, h, row_number() OVER (ORDER BY source, k, doc_id) AS i FROM (SELECT source, doc_id, n_chars, sha256({S.key('text')}) AS h, {_K} AS k FROM documents WHERE source IS NOT NULL)),
 g(i, source, doc_id, total, seen, picked) AS (SELECT 0::BIGINT, ''::VARCHAR, 0::BIGINT, 0::BIGINT, []::VARCHAR[], false UNION ALL SELECT i, source, doc_id, CASE WHEN ok THEN t + n_chars ELSE t END, CASE WHEN ok THEN list_append(seen, h) ELSE seen END, ok FROM
 (SELECT o.*, g.seen, CASE WHEN g.source = o.source THEN g.total ELSE 0 END AS t, NOT list_contains(g.seen, o.h) AND t < 20000 AND t + o.n_chars <= 21000 AS ok FROM g JOIN o ON o.i = g.i + 1))"""
 
@@ -47,7 +47,7 @@ _DIM = {"lang": {"tr": 30, "en": 20, "de": 4}, "category": {"general_prose": 20,
 _LEFT = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in _DIM[c].items()) + " ELSE 0 END"
 
 
-@query(f"""WITH RECURSIVE o AS (SELECT doc_id, lang, category, row_number() OVER (ORDER BY {_K}, doc_id) AS i FROM documents WHERE {_LEFT('lang')} > 0 AND {_LEFT('category')} > 0),
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT doc_id, lang, category, row_number() OVER (ORDER BY {_K}, doc_id) AS i FROM documents WHERE {_LEFT('lang')} > 0 AND {_LEFT('category')} > 0),
 g(i, doc_id, picked, langs, categories) AS (SELECT 0::BIGINT, 0::BIGINT, false, []::VARCHAR[], []::VARCHAR[] UNION ALL SELECT i, doc_id, ok, CASE WHEN ok THEN list_append(langs, lang) ELSE langs END, CASE WHEN ok THEN list_append(categories, category) ELSE categories END FROM
 (SELECT o.*, g.langs, g.categories, len(list_filter(g.langs, lambda x: x = o.lang)) < {_LEFT('lang').replace('CASE lang', 'CASE o.lang')} AND len(list_filter(g.categories, lambda x: x = o.category)) < {_LEFT('category').replace('CASE category', 'CASE o.category')} AS ok FROM g JOIN o ON o.i = g.i + 1))
 SELECT doc_id, row_number() OVER (ORDER BY i) - 1 AS rank FROM g WHERE picked""")

@@ -164,11 +164,16 @@ def curriculum_order(spark, d):
     return docs(spark, d, "doc_id", "category").join(F.broadcast(order), "category", "left").groupBy(F.coalesce("pos", F.lit(9)).alias("pos")).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
 
 
-@query("SELECT count(*) AS full, (max(e) % 512)::BIGINT AS tail FROM (SELECT DISTINCT w, e FROM (SELECT unnest(range(0, t // 512)) AS w, t AS e FROM (SELECT sum(n_chars)::BIGINT AS t FROM documents)))")
+_CUT = "SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS e FROM documents"
+
+
+@query(f"SELECT seq, count(*) AS docs, min_by(doc_id, s) AS first_doc, max_by(doc_id, s) AS last_doc FROM (SELECT *, unnest(range(s // 512, (e - 1) // 512 + 1)) AS seq FROM ({_CUT}) WHERE n_chars > 0) GROUP BY seq HAVING sum(least(e, (seq + 1) * 512) - greatest(s, seq * 512)) = 512")
 def fixed_sequences(spark, d):
-    """Full windows of 512 characters of the corpus laid end to end, and what the tail drops."""
-    total = docs(spark, d, "n_chars").agg(F.sum("n_chars").alias("t"))
-    return total.select(F.floor(F.col("t") / 512).alias("full"), (F.col("t") % 512).alias("tail"))
+    """Every full window of 512 characters of the corpus laid end to end: the documents in it, the first and the last."""
+    s = spans(spark, d).where("n_chars > 0").withColumn("seq", F.explode(F.sequence(F.floor(F.col("start_offset") / 512), F.floor((F.col("end_offset") - 1) / 512))))
+    part = F.least(F.col("end_offset"), (F.col("seq") + 1) * 512) - F.greatest(F.col("start_offset"), F.col("seq") * 512)
+    w = s.groupBy("seq").agg(F.count("*").alias("docs"), F.min_by("doc_id", "start_offset").alias("first_doc"), F.max_by("doc_id", "start_offset").alias("last_doc"), F.sum(part).alias("n"))
+    return w.where("n = 512").drop("n")
 
 
 _SPAN = "SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS e FROM documents"
@@ -215,12 +220,13 @@ def term_counts(spark, d):
     return docs(spark, d, "doc_id", "text").select("doc_id", F.size(F.filter(w, lambda x: x.isin(*B_EN))).cast("long").alias("hits"), filters._any(T.casefold(F.col("text")), ("the ", "ve ")).alias("some"))
 
 
-@query("SELECT i AS id, 'item ' || (i % 4) || '-' || (i // 4 % 3) || '-' || (i // 12 % 2) AS filled FROM (SELECT unnest(range(0, 24)) AS i)")
+@query("""SELECT item_id, 'In ' || ['one', 'two', 'three', 'four'][item_id % 4 + 1] || ' lines, ' || ['explain', 'sum up', 'translate'][item_id // 4 % 3 + 1] || ' for a ' || ['child', 'reader'][item_id // 12 % 2 + 1] || ': ' || prompt AS filled FROM eval_items""")
 def mixed_radix_templates(spark, d):
-    """Templates with three slots of four, three and two values, by division and remainder."""
-    i = F.col("id")
-    slot = lambda n, base: (F.floor(i / n) % base).cast("string")
-    return spark.range(24).select("id", F.concat(F.lit("item "), slot(1, 4), F.lit("-"), slot(4, 3), F.lit("-"), slot(12, 2)).alias("filled"))
+    """Prompts in a template with three slots of four, three and two values, by division and remainder of the item's id."""
+    i = F.col("item_id")
+    slot = lambda n, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(i / n) % len(values) + 1).cast("int"))
+    filled = F.concat(F.lit("In "), slot(1, ("one", "two", "three", "four")), F.lit(" lines, "), slot(4, ("explain", "sum up", "translate")), F.lit(" for a "), slot(12, ("child", "reader")), F.lit(": "), "prompt")
+    return table(spark, d, "eval_items", "item_id", "prompt").select("item_id", filled.alias("filled"))
 
 
 @query()

@@ -81,7 +81,7 @@ def round_robin(spark, d):
     return top.select(F.row_number().over(Window.orderBy("rn", "source")).cast("long").alias("pos"), "doc_id")  # at most 60 rows
 
 
-@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
 g(source, i, doc_id, total, picked) AS (SELECT DISTINCT source, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM o UNION ALL
 SELECT o.source, o.i, o.doc_id, CASE WHEN ok THEN total + n_chars ELSE total END, ok FROM (SELECT o.*, g.total, g.total < 20000 AND g.total + o.n_chars <= 21000 AS ok FROM g JOIN o ON g.source IS NOT DISTINCT FROM o.source AND o.i = g.i + 1) o)
 SELECT source, doc_id, total AS running FROM g WHERE picked""")
@@ -111,7 +111,7 @@ def quota_scale(spark, d):
     return q.withColumn("k", k).withColumn("missing", 100 - F.sum("base").over(every)).select("source", (F.col("base") + F.when(F.col("k") <= F.col("missing"), 1).otherwise(0)).alias("quota"))
 
 
-_PACKED = f"""o AS (SELECT split, doc_id, n_chars, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS i FROM (SELECT doc_id, n_chars, CASE WHEN b < 98 THEN 'train' WHEN b < 99 THEN 'validation' ELSE 'eval' END AS split FROM (SELECT doc_id, n_chars, {S.hash_bucket(_ID, 100)} AS b FROM documents))),
+_PACKED = f"""o AS MATERIALIZED (SELECT split, doc_id, n_chars, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS i FROM (SELECT doc_id, n_chars, CASE WHEN b < 98 THEN 'train' WHEN b < 99 THEN 'validation' ELSE 'eval' END AS split FROM (SELECT doc_id, n_chars, {S.hash_bucket(_ID, 100)} AS b FROM documents))),
 g(split, i, doc_id, shard, s, e) AS (SELECT split, i, doc_id, 0, 0::BIGINT, n_chars FROM o WHERE i = 1 UNION ALL SELECT o.split, o.i, o.doc_id, CASE WHEN g.e > 0 AND g.e + o.n_chars > 50000 THEN g.shard + 1 ELSE g.shard END, CASE WHEN g.e > 0 AND g.e + o.n_chars > 50000 THEN 0 ELSE g.e END, CASE WHEN g.e > 0 AND g.e + o.n_chars > 50000 THEN 0 ELSE g.e END + o.n_chars
 FROM g JOIN o ON g.split = o.split AND o.i = g.i + 1)"""
 
