@@ -125,15 +125,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, share: float = 0.5, size: in
 
 
 def _leaked(texts: DataFrame, items: Items) -> DataFrame:
-    size = items.size
+    size, sc = items.size, texts.sparkSession.sparkContext
+    every = sc.broadcast(items.all)  # at most BLOCK_SHINGLES hashes, and as many owners and words below
 
     def frequency(batches):
-        hashes, seen = Cache(fold_hash), np.zeros(len(items.all), np.int64)
+        known = every.value
+        hashes, seen = Cache(fold_hash), np.zeros(len(known), np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 keys = np.unique(_document(t, size, hashes)[1])
-                if len(keys) and len(items.all):
-                    seen[np.searchsorted(items.all, keys[_member(keys, items.all)])] += 1
+                if len(keys) and len(known):
+                    seen[np.searchsorted(known, keys[_member(keys, known)])] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["at", "n"])
 
@@ -141,9 +143,11 @@ def _leaked(texts: DataFrame, items: Items) -> DataFrame:
     for row in texts.select("text").mapInArrow(frequency, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most one row per item shingle
         counted[row["at"]] = row.n
     items.order(counted)
+    shared = sc.broadcast(items)
     fields = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("held", pa.int32()), ("words", pa.int32())])
 
     def search(given: dict[str, list], hashes: Cache) -> dict[str, list]:
+        items = shared.value
         out: dict[str, list] = {n: [] for n in fields.names}
         for doc, text in zip(given["doc_id"], given["text"], strict=True):
             words, keys = _document(text, size, hashes)

@@ -105,6 +105,7 @@ class Page:
         count = Counter(w for w in self.words if len(w) > 2 and w not in FUNCTION_WORDS)
         self.top = max(count.values(), default=0) / n
         self.recurrence = self.lag = self.density = self.cover = self.labels = self.regular = 0.0
+        self.length = 0
         self.folded = words
 
     def regularity(self) -> None:
@@ -125,6 +126,7 @@ class Page:
         pairs = Counter((a, b) for a, b in zip(content, content[1:], strict=False) if a and b)
         self.density = 2 * max(pairs.values(), default=0) / self.n
         sequence = symbols(self.kept, self.folded)
+        self.length = len(sequence)
         self.labels = sequence.count("<label>") / max(1, len(sequence))
         self.regular = autocorrelation(sequence)
         places = [i for i, w in enumerate(sequence) if w == "<link>"]
@@ -137,7 +139,8 @@ class Page:
             return None
         self.regularity()
         listed = self.function < 0.1 and self.ended < 0.5
-        if self.function < 0.1 and self.cover >= (0.65 if self.ended < 0.5 else 0.85):
+        # few words beside the links say nothing about sentences: their share is that of the whole sequence
+        if self.function < 0.1 and self.cover >= 0.65 and self.ended * self.n < 0.5 * self.length:
             return "links"
         if self.n < 20:
             return None
