@@ -33,6 +33,12 @@ def first_pairs(df: DataFrame, **names) -> DataFrame:
     return p.groupBy("conv").agg(F.min_by(F.struct("turn", "prompt", "response"), "turn").alias("p")).select("conv", "p.*")
 
 
+def merged(instruction: Column, given: Column) -> Column:
+    """Prompt of a row with an instruction and an input: squeezed, the input on a line of its own where there is one."""
+    i, g = squeeze(instruction), squeeze(given)
+    return F.when(g != "", F.concat(i, F.lit("\n"), g)).otherwise(i)
+
+
 def matchable(c: Column) -> Column:
     """Text for containment tests: lower case, composed, without combining dots."""
     return F.replace(F.lower(nfc(F.coalesce(c, F.lit("")))), F.lit("̇"), F.lit(""))

@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import clean_queries, dedup_queries, extra_queries, instruct_queries, more_queries, select_queries, stream_queries, text_queries  # noqa: F401
+    from . import clean_queries, dedup_queries, extra_queries, instruct_queries, more_queries, pipeline_queries, select_queries, stream_queries, text_queries  # noqa: F401
