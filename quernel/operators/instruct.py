@@ -7,10 +7,10 @@ alone, ``whole`` adds its borders.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_reason, squeeze
+from ..functions.text import casefold, first_reason, squeeze, squeeze_ends, stripped_lines
 
 _W = r"\p{L}\p{N}_"
 
@@ -130,6 +130,15 @@ UNSAFE_CODE = (
 )
 
 
+# Fixed values of the example score: terms, phrases of web furniture, marks of turns, and what refuses at once.
+SCORE_TECHNICAL = ("python", "fonksiyon", "liste", "sözlük", "json", "pathlib", "try", "except", "class", "tokenizer", "cuda", "pytorch", "torch", "transformer", "checkpoint", "corpus", "eval", "model", "dataset", "veri", "git")
+SCORE_PROJECT = ("tokenizer", "cuda", "pytorch", "python", "transformer", "checkpoint", "corpus", "eval", "pipeline", "dataset")
+SCORE_FURNITURE = ("cookie", "cookies", "privacy policy", "gizlilik politikası", "login", "log in", "sign in", "subscribe", "newsletter", "reklam", "advertisement", "terms of service", "kullanım şartları")
+SCORE_WORDS = ("ve", "bir", "için", "nasıl", "nedir", "neden", "kullanılır", "örnek", "hata", "değer", "metin")
+USER_MARK, ANSWER_MARK = "Kullanıcı:", "Asistan:"
+HARD_NEGATIVES = ("too short", "too long", "broken code fences", "too many URLs", "web boilerplate", "empty answer", "answer repeats question")
+
+
 def plain(c: Column) -> Column:
     """Lower case with all kinds of i alike, as patterns that ignore case take them."""
     return F.lower(F.translate(c, "İIı", "iii"))
@@ -278,6 +287,33 @@ def distill_reason(own: str) -> Column:
     )
 
 
+def scored_examples(df: DataFrame, id_col: str, text_col: str, valid: Column | None = None, least: int = 20, most: int = 4000, own: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, negatives, accepted): additive score of dialogue examples. An example is accepted from a score of two
+    without a negative that refuses at once; of accepted ones with one case-folded text the first, by id, stays and the
+    others have the negative ``duplicated exact example`` and no score. ``valid``: whether the example has a short block
+    of valid Python (see ``sequences.python_valid``; none by default); ``own``: further terms of the project. Null texts
+    count as empty; ids are unique."""
+    e = F.coalesce(F.col(text_col), F.lit(""))
+    answer = F.when(F.contains(e, F.lit(ANSWER_MARK)), squeeze_ends(F.substr(e, F.instr(e, ANSWER_MARK) + len(ANSWER_MARK)))).otherwise("")
+    asked = F.when(F.contains(e, F.lit(USER_MARK)), squeeze_ends(F.substring_index(F.substr(e, F.instr(e, USER_MARK) + len(USER_MARK)), "\n", 1))).otherwise("")
+    d = df.select(F.col(id_col).alias("id"), e.alias("e"), casefold(e).alias("f"), answer.alias("a"), F.transform(stripped_lines(e), squeeze).alias("l"), squeeze(casefold(e)).alias("key"), squeeze(casefold(asked)).alias("q"), squeeze(casefold(answer)).alias("fa"), (F.lit(False) if valid is None else valid).alias("v"))
+    users = F.regexp_count("e", F.lit(USER_MARK))
+    checks = (
+        ("too short", F.length("e") < least), ("too long", F.length("e") > most), ("broken code fences", F.regexp_count("e", F.lit("```")) % 2 != 0), ("too many URLs", F.regexp_count("e", F.lit("(?i)https?://|www\\.")) > 2), ("web boilerplate", _any_of(F.col("f"), SCORE_FURNITURE)),
+        ("unfinished dialogue", squeeze_ends(F.col("e")).endswith(USER_MARK) | squeeze_ends(F.col("e")).endswith(ANSWER_MARK)), ("repeated lines", F.size("l") - F.size(F.array_distinct("l")) >= 3), ("multiple user markers inside example", users > 1),
+        ("empty answer", F.contains("e", F.lit(ANSWER_MARK)) & (F.col("a") == "")), ("answer repeats question", (F.col("q") != "") & (F.col("fa") != "") & F.startswith("fa", F.col("q")) & (F.length("fa") < F.length("q") + 20)),
+    )
+    d = d.withColumn("negatives", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks])))
+    hits = lambda terms: sum((F.contains("f", F.lit(t)).cast("int") for t in terms), F.lit(0))
+    local = _has("e", TURKISH_LETTERS) | F.arrays_overlap(F.regexp_extract_all("f", F.lit(rf"[{_W}]+"), F.lit(0)), F.array(*[F.lit(w) for w in SCORE_WORDS]))
+    points = 2 * local.cast("int") + F.least(hits(SCORE_TECHNICAL), F.lit(3)) + 2 * ((users > 0) & F.contains("e", F.lit(ANSWER_MARK))).cast("int") + 2 * F.col("v").cast("int") + (F.length("a") >= 20).cast("int") + F.least(hits(SCORE_PROJECT + own), F.lit(2))
+    d = d.withColumn("score", (points - 2 * F.size("negatives")).cast("long"))
+    d = d.withColumn("ok", (F.col("score") >= 2) & ~F.arrays_overlap("negatives", F.array(*[F.lit(n) for n in HARD_NEGATIVES]))).select("id", "key", "score", "negatives", "ok")
+    first = d.where("ok").groupBy("key").agg(F.min("id").alias("first"))
+    again = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
+    return d.join(first, "key", "left").select("id", F.when(again, F.lit(0).cast("long")).otherwise(F.col("score")).alias("score"), F.when(again, F.array(F.lit("duplicated exact example"))).otherwise(F.col("negatives")).alias("negatives"), (F.col("ok") & ~again).alias("accepted"))
+
+
 def unsafe_code(c: Column) -> Column:
     """Array of (label, hits) of what generated code must not hold, those with hits."""
     low = plain(c)

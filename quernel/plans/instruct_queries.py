@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import instruct as I
 from ..operators import select
 from ..session import table
@@ -165,3 +164,20 @@ def mix_selection(spark, d):
     whose share is capped."""
     judged = pairs(spark, d).withColumn("kind", I.mix_category()).withColumn("reason", I.mix_reason(OWN)).where("reason is null").select("pair_id", "kind")
     return select.quota_fill(judged, "kind", "pair_id", MIX_COUNTS, 1000, ("identity",), "mix:", "fill:")
+
+
+_EXAMPLE = "'Kullanıcı: ' || coalesce(l.a, '') || chr(10) || 'Asistan: ' || coalesce(l.b, '')"
+_TERMS = lambda terms: "(" + " + ".join(f"contains(f, '{t}')::INTEGER" for t in terms) + ")"
+_NEGATIVES = f"""list_filter([CASE WHEN length(e) < 20 THEN 'too short' END, CASE WHEN length(e) > 4000 THEN 'too long' END, CASE WHEN len(regexp_extract_all(e, '```')) % 2 != 0 THEN 'broken code fences' END, CASE WHEN len(regexp_extract_all(e, '(?i)https?://|www\\.')) > 2 THEN 'too many URLs' END,
+CASE WHEN {S.any_of('f', I.SCORE_FURNITURE)} THEN 'web boilerplate' END, CASE WHEN ends_with({S.ends('e')}, 'Kullanıcı:') OR ends_with({S.ends('e')}, 'Asistan:') THEN 'unfinished dialogue' END, CASE WHEN len(k) - len(list_distinct(k)) >= 3 THEN 'repeated lines' END, CASE WHEN len(regexp_extract_all(e, 'Kullanıcı:')) > 1 THEN 'multiple user markers inside example' END,
+CASE WHEN a = '' THEN 'empty answer' END, CASE WHEN q != '' AND fa != '' AND starts_with(fa, q) AND length(fa) < length(q) + 20 THEN 'answer repeats question' END], lambda x: x IS NOT NULL)"""
+_TURKISH_E = f"({has('e', I.TURKISH_LETTERS)} OR len(list_intersect(regexp_extract_all(f, '[\\p{{L}}\\p{{N}}_]+'), [{', '.join(repr(w) for w in I.SCORE_WORDS)}])) > 0)"
+
+
+@query(f"""WITH x AS (SELECT pair_id, {_EXAMPLE} AS e, {S.ends("substr(e, instr(e, 'Asistan:') + 8)")} AS a, {S.ends("split_part(substr(e, instr(e, 'Kullanıcı:') + 10), chr(10), 1)")} AS q0 FROM ({_LAST})), y AS (SELECT *, {S.casefold('e')} AS f, list_transform({S.kept_lines('e')}, lambda x: {S.squeeze('x')}) AS k, {S.squeeze(S.casefold('q0'))} AS q, {S.squeeze(S.casefold('a'))} AS fa, {S.squeeze(S.casefold('e'))} AS key FROM x),
+n AS (SELECT pair_id, key, {_NEGATIVES} AS negatives, (2 * {_TURKISH_E}::INTEGER + least({_TERMS(I.SCORE_TECHNICAL)}, 3) + 2 + (length(a) >= 20)::INTEGER + least({_TERMS(I.SCORE_PROJECT + (OWN,))}, 2) - 2 * len({_NEGATIVES}))::BIGINT AS score FROM y), g AS (SELECT *, score >= 2 AND len(list_intersect(negatives, [{', '.join(repr(x) for x in I.HARD_NEGATIVES)}])) = 0 AS ok FROM n),
+h AS (SELECT *, coalesce(pair_id > min(CASE WHEN ok THEN pair_id END) OVER (PARTITION BY key), false) AS again FROM g) SELECT pair_id, CASE WHEN again THEN 0 ELSE score END AS score, CASE WHEN again THEN ['duplicated exact example'] ELSE negatives END AS negatives, ok AND NOT again AS accepted FROM h""")
+def scored_gate(spark, d):
+    """Score and verdict of every pair as a dialogue example."""
+    e = F.concat(F.lit("Kullanıcı: "), F.coalesce("prompt", F.lit("")), F.lit("\nAsistan: "), F.coalesce("response", F.lit("")))
+    return I.scored_examples(last(spark, d).withColumn("e", e), "pair_id", "e", own=(OWN,)).withColumnRenamed("id", "pair_id")

@@ -235,31 +235,3 @@ def corpus_inventory(spark, d):
     from .inventory import inventory
 
     return inventory(docs(spark, d, "doc_id", "text", "lang"), table(spark, d, "eval_items", "prompt", "text"))
-
-
-# Terms of the example score.
-TECHNICAL = ("python", "fonksiyon", "liste", "sözlük", "json", "pathlib", "try", "except", "class", "tokenizer", "cuda", "pytorch", "torch", "transformer", "checkpoint", "corpus", "eval", "model", "dataset", "veri", "git")
-FURNITURE = ("cookie", "cookies", "privacy policy", "gizlilik politikası", "login", "log in", "sign in", "subscribe", "newsletter", "reklam", "advertisement", "terms of service", "kullanım şartları")
-
-
-def _terms_sql(c, terms):
-    return "(" + " + ".join(f"CASE WHEN contains({c}, '{t}') THEN 1 ELSE 0 END" for t in terms) + ")"
-
-
-@query(rf"""SELECT pair_id, (2 * tr + least(tech, 3) + CASE WHEN length(a) >= 20 THEN 1 ELSE 0 END - 2 * neg)::BIGINT AS score, 2 * tr + least(tech, 3) + CASE WHEN length(a) >= 20 THEN 1 ELSE 0 END - 2 * neg >= 2 AND hard = 0 AS accepted FROM
-(SELECT pair_id, a, CASE WHEN regexp_matches(t, '[çğıöşüÇĞİÖŞÜ]') THEN 1 ELSE 0 END AS tr, {_terms_sql('f', TECHNICAL)} AS tech,
-(CASE WHEN length(t) < 20 THEN 1 ELSE 0 END + CASE WHEN length(t) > 4000 THEN 1 ELSE 0 END + CASE WHEN len({S.found('t', '```')}) % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN len({S.found('t', filters.V1_URL)}) > 2 THEN 1 ELSE 0 END + CASE WHEN {S.any_of('f', FURNITURE)} THEN 1 ELSE 0 END + CASE WHEN a = '' THEN 1 ELSE 0 END) AS hard,
-hard + CASE WHEN len(k) - len(list_distinct(k)) >= 3 THEN 1 ELSE 0 END AS neg FROM (SELECT pair_id, trim(s.r) AS a, coalesce(s.p, '') || chr(10) || s.r AS t, {S.casefold('t')} AS f, {S.kept_lines('t')} AS k FROM ({_PAIR})))""")
-def example_score(spark, d):
-    """Additive score of examples, with reasons that refuse at once: bounds, open fences, links, furniture, no answer."""
-    p = table(spark, d, "instruct_seed", "pair_id", "prompt", "response", "loaded_at").groupBy("pair_id").agg(F.max_by(F.struct(F.coalesce("prompt", F.lit("")).alias("p"), F.coalesce("response", F.lit("")).alias("r")), "loaded_at").alias("s"))
-    t = F.concat(F.col("s.p"), F.lit("\n"), F.col("s.r"))
-    e = p.select("pair_id", F.btrim(F.col("s.r"), F.lit(" ")).alias("a"), t.alias("t"), T.casefold(t).alias("f"))
-    one = lambda c: c.cast("int")
-    fences = F.regexp_count("t", F.lit("```")) % 2 == 1
-    hard = one(F.length("t") < 20) + one(F.length("t") > 4000) + one(fences) + one(F.regexp_count("t", F.lit(filters.V1_URL)) > 2) + one(filters._any(F.col("f"), FURNITURE)) + one(F.col("a") == "")
-    repeated = T.let(T.stripped_lines(F.col("t")), lambda k: one(F.size(k) - F.size(F.array_distinct(k)) >= 3))
-    tech = sum((one(F.contains("f", F.lit(x))) for x in TECHNICAL), F.lit(0))
-    score = 2 * one(F.col("t").rlike("[çğıöşüÇĞİÖŞÜ]")) + F.least(tech, F.lit(3)) + one(F.length("a") >= 20) - 2 * (F.col("hard") + F.col("rep"))
-    scored = e.withColumns({"hard": hard, "rep": repeated}).select("pair_id", score.cast("long").alias("score"), "hard")
-    return scored.select("pair_id", "score", ((F.col("score") >= 2) & (F.col("hard") == 0)).alias("accepted"))

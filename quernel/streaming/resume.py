@@ -38,11 +38,18 @@ def _run(frame: DataFrame, mode: str, root: str | None) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def deduplicated_stream(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id", root: str | None = None) -> DataFrame:
+def deduplicated_stream(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id", root: str | None = None, within: tuple[str, str] | None = None) -> DataFrame:
     """(h): content hashes, each once over all runs that share ``root``: the state keeps what was seen, for good, as the
-    operator promises (it grows with the number of different texts). A run with the same ``root`` appends unseen ones."""
-    hashes = _stream(spark, sf_dir, name).select(content_hash(F.coalesce("text", F.lit(""))).alias("h"))
-    return _run(hashes.dropDuplicates(["h"]), "append", root)
+    operator promises (it grows with the number of different texts). A run with the same ``root`` appends unseen ones.
+
+    ``within``: an event time column and a delay, such as ("ingested_at", "30 days"): a hash is forgotten once the stream
+    is that far past it, which bounds the state; rows later than the delay are dropped by the watermark."""
+    rows = _stream(spark, sf_dir, name)
+    h = content_hash(F.coalesce("text", F.lit(""))).alias("h")
+    if within:
+        late = rows.withColumn("_at", F.col(within[0]).cast("timestamp")).withWatermark("_at", within[1])
+        return _run(late.select(h, "_at").dropDuplicatesWithinWatermark(["h"]).select("h"), "append", root)
+    return _run(rows.select(h).dropDuplicates(["h"]), "append", root)
 
 
 def hourly_counts(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:

@@ -151,3 +151,22 @@ def test_mojibake_findings(spark):
     df = spark.createDataFrame([(1, "sound\nKullanÄ±cÄ± � x"), (2, None), (3, "Â"), (None, "Ã¼")], "ext_id long, text string")
     got = {(r.ext_id, r.line_number, r.substring): (r.original, r.severity, r.safe) for r in mojibake.findings(df).collect()}
     assert got[1, 2, "�"] == (None, "critical", False) and got[1, 2, "KullanÄ±cÄ±"] == ("Kullanıcı", "high", True) and got[1, 2, "Ä±"] == ("ı", "high", True) and {k[0] for k in got} == {1}
+
+
+def test_scored_examples(spark):
+    good = "Kullanıcı: python nedir?\nAsistan: Python, fonksiyon ve liste yazılan bir dildir."
+    rows = [(1, good), (2, good), (3, None), (4, "Kullanıcı: soru nedir?\nAsistan:"), (5, "Kullanıcı: kısa soru nedir?\nAsistan: Kısa soru nedir?"), (6, good + "\n```"), (7, good + "\nSubscribe to the newsletter"), (8, good * 200)]
+    got = {r.id: r for r in instruct.scored_examples(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert got[1].accepted and got[1].score == 2 + 3 + 2 + 1 + 1 and got[2].negatives == ["duplicated exact example"] and not got[2].accepted
+    assert got[3].negatives == ["too short"] and "empty answer" in got[4].negatives and "answer repeats question" in got[5].negatives and got[6].negatives == ["broken code fences"] and got[7].negatives == ["web boilerplate"] and "too long" in got[8].negatives
+    assert [i for i, r in got.items() if r.accepted] == [1]
+
+
+def test_stream_forgets_within_watermark(spark, tmp_path):
+    import datetime
+
+    from quernel.streaming import resume
+
+    at = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, "a", at), (2, "a", at), (3, "b", None)], "doc_id long, text string, ingested_at timestamp").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert resume.deduplicated_stream(spark, str(tmp_path), root=str(tmp_path / "s"), within=("ingested_at", "1 day")).count() == 2
