@@ -8,11 +8,12 @@ from ..functions import clean as C
 from ..functions import text as T
 from ..operators import chat, dedup, filters, select, similarity
 from ..session import cut_lineage, spread, table
+from ..sources import readers
 from . import fragments as S
 from .catalogue import query
 from .clean_queries import _CORPUS
 from .instruct_queries import _LAST, last
-from .select_queries import _ID
+from .select_queries import _ID, SEED
 from .text_queries import _V1
 
 
@@ -117,3 +118,16 @@ def required_fields(spark, d):
     wanted = F.array(*[F.lit(x) for x in ("doc_id", "text", "source", "lang")])
     rows = [(name, table(spark, d, name).columns) for name in ("documents", "eval_items")]
     return spark.createDataFrame(rows, "name string, have array<string>").select("name", F.size(F.array_except(wanted, "have")).cast("long").alias("missing"))
+
+
+_PATHS = "SELECT DISTINCT source_id, CASE WHEN category = 'web_crawl' THEN 'node_modules/' ELSE 'doc/' END || native_id || CASE WHEN category = 'educational' THEN '.pdf' WHEN category = 'technical_documentation' THEN '.go' ELSE '.MD' END AS member FROM extracted_documents"
+
+
+@query(f"""SELECT source_id, member, category, rn FROM (SELECT source_id, member, CASE WHEN ends_with(member, '.go') THEN 'code_structured_text' ELSE 'technical_documentation' END AS category, row_number() OVER (PARTITION BY source_id ORDER BY sha256('{SEED}:' || member), member) AS rn FROM ({_PATHS}) WHERE NOT ends_with(member, '.pdf') AND NOT starts_with(member, 'node_modules/')) WHERE rn <= 20""")
+def archive_sample(spark, d):
+    """Twenty members of each source, as paths of an archive, by seeded hash: text files outside generated folders."""
+    c = F.col("category")
+    folder = F.when(c == "web_crawl", "node_modules/").otherwise("doc/")
+    suffix = F.when(c == "educational", ".pdf").when(c == "technical_documentation", ".go").otherwise(".MD")
+    paths = table(spark, d, "extracted_documents", "source_id", "native_id", "category").select("source_id", F.concat(folder, "native_id", suffix).alias("member")).distinct()
+    return readers.member_sample(paths, SEED, 20).select("source_id", "member", "category", F.col("rn").cast("long").alias("rn"))

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from ..functions.clean import chunks
 from ..functions.markup import wiki_text
 from ..functions.text import squeeze_ends
+from ..operators.select import per_group
 
 BOM = "﻿"
 
@@ -87,6 +89,16 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.where("ns = 0 and redirect is null and revision.text._VALUE is not null").select(F.col("id").alias("page_id"), "title", wiki_text(F.col("revision.text._VALUE")).alias("text")).where("text != ''")
 
 
+def wiki_paragraphs(spark: SparkSession, path: str, least: int = 40) -> DataFrame:
+    """(page_id, revision_id, title, n, paragraph): paragraphs of at least ``least`` characters of the articles of a dump,
+    numbered from 0 in page order, with the page and revision they are from. Other namespaces, redirects and pages
+    without text are left out."""
+    schema = "title string, ns long, id long, redirect struct<_title: string>, revision struct<id: long, text: struct<_VALUE: string>>"
+    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path).where("ns = 0 and redirect is null and revision.text._VALUE is not null")
+    own = pages.select(F.col("id").alias("page_id"), F.col("revision.id").alias("revision_id"), "title", wiki_text(F.col("revision.text._VALUE")).alias("_t"))
+    return own.select("page_id", "revision_id", "title", F.posexplode(chunks(F.col("_t"), least)).alias("n", "paragraph"))
+
+
 def tar_members(df: DataFrame, suffixes: tuple[str, ...] = (), most: int = 2_000_000, skip: Callable[[str], bool] | None = None) -> DataFrame:
     """(path, member, text) of the regular files of tar archives (any compression): UTF-8, by name, of at most ``most``
     bytes and with one of ``suffixes``. Members that are no UTF-8 have a null text."""
@@ -114,6 +126,29 @@ def tar_members(df: DataFrame, suffixes: tuple[str, ...] = (), most: int = 2_000
     return df.select("path", "content").mapInArrow(run, "path string, member string, text string")
 
 
+# Members of archives that hold text, paths of generated files, suffixes of code and of markup.
+TEXT_SUFFIXES = (".md", ".markdown", ".rst", ".txt", ".html", ".htm", ".xml", ".go", ".js", ".mjs", ".cjs")
+GENERATED = r"(?i)(?:^|/)(?:vendor|node_modules|third_party|generated|dist|build|testdata|fixtures?)(?:/|$)"
+CODE_SUFFIXES, MARKUP_SUFFIXES = (".go", ".js", ".mjs", ".cjs"), (".html", ".htm", ".xml")
+
+
+def member_sample(members: DataFrame, seed: str, most: int, source: str = "source_id", member: str = "member", within: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``members`` with ``category`` and ``rn``: of each source the ``most`` members that come first by the hash of seed and
+    name, among those that hold text by their suffix and lie in no folder of generated files; ``within`` names, for a
+    source, the parts of which a path must have one. Code is told from documents by the suffix. Rows with a null source
+    or member are left out."""
+    path = F.lower(F.replace(member, F.lit("\\"), F.lit("/")))
+    suffix = F.regexp_extract(path, r"(\.[^./]*)$", 1)
+    fit = suffix.isin(*TEXT_SUFFIXES) & ~path.rlike(GENERATED)
+    for name, parts in (within or {}).items():
+        inside = F.lit(False)
+        for p in parts:
+            inside = inside | F.contains(path, F.lit(p))
+        fit = fit & ((F.col(source) != name) | inside)
+    ranked = members.where(F.col(source).isNotNull() & F.col(member).isNotNull() & fit).withColumn("_k", F.sha2(F.concat(F.lit(seed + ":"), member), 256))
+    return per_group(ranked, source, [F.col("_k"), F.col(member)], most).withColumn("category", F.when(suffix.isin(*CODE_SUFFIXES), "code_structured_text").otherwise("technical_documentation")).drop("_k")
+
+
 def sentence_table(df: DataFrame, member: str = "sentences_detailed.csv") -> DataFrame:
     """(sentence_id, language, text, user) of tab-separated sentence archives: Turkish and English rows that name a
     user; rows of fewer than four fields are left out."""
@@ -165,11 +200,16 @@ def decompressed(df: DataFrame) -> DataFrame:
     return df.select("path", "content").mapInArrow(run, "path string, text string")
 
 
-READERS = {"jsonl": jsonl, "text": texts, "wiki": wiki_pages}
+#: Declared formats and how each is read from a session and a path.
+READERS = {
+    "jsonl": jsonl, "text": texts, "wiki": wiki_pages, "wiki_paragraphs": wiki_paragraphs,
+    "blank_lines": lambda spark, path, **o: blank_line_documents(texts(spark, path, **o)), "marked": lambda spark, path, **o: marked_documents(texts(spark, path, **o)), "scored": lambda spark, path, **o: scored_examples(texts(spark, path, **o)), "buckets": lambda spark, path, **o: bucket_examples(texts(spark, path, **o)),
+    "tar": lambda spark, path, **o: tar_members(files(spark, path), **o), "sentences": lambda spark, path, **o: sentence_table(files(spark, path), **o), "parquet": lambda spark, path: spark.read.parquet(path),
+}
 
 
 def read(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
-    """Read by declared format; an unknown one is an error."""
+    """Read by declared format; an unknown one is an error that names those there are."""
     if kind not in READERS:
-        raise ValueError(f"unknown format {kind!r}")
+        raise ValueError(f"unknown format {kind!r}: {', '.join(sorted(READERS))}")
     return READERS[kind](spark, path, **options)

@@ -170,3 +170,28 @@ def test_stream_forgets_within_watermark(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
     spark.createDataFrame([(1, "a", at), (2, "a", at), (3, "b", None)], "doc_id long, text string, ingested_at timestamp").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     assert resume.deduplicated_stream(spark, str(tmp_path), root=str(tmp_path / "s"), within=("ingested_at", "1 day")).count() == 2
+
+
+def test_formats_by_name(spark, tmp_path):
+    import io
+    import tarfile
+
+    from quernel.sources import readers
+
+    (tmp_path / "a.txt").write_text("one\n\ntwo", encoding="utf-8")
+    assert readers.read(spark, "blank_lines", str(tmp_path / "a.txt")).count() == 2
+    long = "a paragraph of the page that is long enough to be kept here"
+    page = f"<page><title>T</title><ns>0</ns><id>1</id><revision><id>77</id><text>{long}\n\nshort\n\n{long} too</text></revision></page>"
+    (tmp_path / "w.xml").write_text(f"<mediawiki>{page}<page><title>D</title><ns>1</ns><id>2</id><revision><id>8</id><text>{long}</text></revision></page></mediawiki>", encoding="utf-8")
+    got = readers.read(spark, "wiki_paragraphs", str(tmp_path / "w.xml")).orderBy("n").collect()
+    assert [(r.page_id, r.revision_id, r.n, r.paragraph) for r in got] == [(1, 77, 0, long), (1, 77, 1, long + " too")]
+    with tarfile.open(tmp_path / "t.tar", "w") as archive:
+        for name in ("doc/a.md", "vendor/b.md", "doc/c.bin", "doc/d.GO"):
+            info = tarfile.TarInfo(name)
+            info.size = 1
+            archive.addfile(info, io.BytesIO(b"x"))
+    members = readers.read(spark, "tar", str(tmp_path / "t.tar")).withColumn("source_id", F.lit("s"))
+    assert {(r.member, r.category) for r in readers.member_sample(members, "1", 5).collect()} == {("doc/a.md", "technical_documentation"), ("doc/d.GO", "code_structured_text")}
+    assert readers.member_sample(members, "1", 1).count() == 1 and readers.member_sample(members, "1", 5, within={"s": ("/none/",)}).count() == 0
+    with pytest.raises(ValueError, match="unknown format"):
+        readers.read(spark, "nothing", "x")
