@@ -19,7 +19,7 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -49,8 +49,8 @@ _QUOTES = "“”„‘’«»\"'`"
 
 MIN_SUPPORT = 3
 MAX_PIECES = 200_000
-#: Clean forms of a skeleton that a garbled word is held against.
-FORMS = 4
+#: A piece of ASCII characters alone, to which nothing garbled can lead.
+_ASCII_PIECE = r"(?:^|[A-Za-z0-9])[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:$|[A-Za-z0-9])"
 
 
 def suspicious(text: str) -> bool:
@@ -285,10 +285,11 @@ def garbled_lines(docs: DataFrame, id_col: str = "ext_id", text_col: str = "text
     """
     scanned = cut_lineage(_scan(docs, id_col, text_col))
     lines = scanned.where("kind = 's'").select("ext_id", "line_number", "line")
-    # of the clean words with one skeleton and the same places of pieces the best known, whatever their number
+    # clean words with one skeleton and the same places of pieces. A word without ASCII pieces is a twin of every garbled
+    # one, and the best known twin is taken: words less known than such a one can't be it, all others stay
     known = scanned.where("kind = 'v' and n >= 2 and skeleton != ''").select("skeleton", "at", F.trim("form").alias("form"), "n")
-    rank = F.row_number().over(Window.partitionBy("skeleton", "at").orderBy(F.desc("n"), F.desc("form")))
-    vocabulary = known.withColumn("rank", rank).where(F.col("rank") <= FORMS).drop("rank")
+    least = known.where(~F.col("form").rlike(_ASCII_PIECE)).groupBy("skeleton", "at").agg(F.max("n").alias("least"))
+    vocabulary = known.join(least, ["skeleton", "at"], "left").where("least is null or n >= least").drop("least")
 
     token_fields = pa.schema([("ext_id", pa.int64()), ("line_number", pa.int32()), ("pos", pa.int32()), ("token", pa.string()), ("skeleton", pa.string()), ("at", pa.string()), ("quoted", pa.bool_())])
 
