@@ -107,17 +107,32 @@ def simhash_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
     return near.union(same)
 
 
-def simhash_matches(left: DataFrame, right: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b, distance): rows of two tables of hashes at most three bits apart. Equal hashes are joined as one first."""
+def _near(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
+    """(hx, hy, distance): different pairs of hashes of two tables at most three bits apart. Joined by merging, so that no
+    table, however its size is guessed, goes through the driver."""
     if distance > 3:
         raise ValueError("six bands find up to three bits")
     keyed = lambda df: df.select("h").distinct().select("h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in _MASKS])).alias("band", "v"))
-    x, y = keyed(left).alias("x"), keyed(right).alias("y")
+    x, y = keyed(left).alias("x"), keyed(right).alias("y").hint("merge")
     apart = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v"))).where(apart <= distance).select(F.col("x.h").alias("hx"), F.col("y.h").alias("hy"), apart.cast("int").alias("distance")).distinct()
+    return x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") == F.col("y.v"))).where(apart <= distance).select(F.col("x.h").alias("hx"), F.col("y.h").alias("hy"), apart.cast("int").alias("distance")).distinct()
+
+
+def simhash_matches(left: DataFrame, right: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, b, distance): rows of two tables of hashes at most three bits apart. Equal hashes are joined as one first."""
     a = left.select(F.col("h").alias("hx"), F.col("id").alias("a"))
     b = right.select(F.col("h").alias("hy"), F.col("id").alias("b"))
-    return near.join(a, "hx").join(b, "hy").select("a", "b", "distance")
+    return _near(left, right, distance).join(a.hint("merge"), "hx").join(b.hint("merge"), "hy").select("a", "b", "distance")
+
+
+def simhash_match_counts(left: DataFrame, right: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, matches): for the ids of ``left`` with any, how many rows of ``right`` have a hash at most three bits apart: the
+    size of ``simhash_matches`` by a. Rows with equal hashes are counted, not paired. Both tables are hashed once."""
+    left, right = cut_lineage(left), cut_lineage(right)
+    rows = right.groupBy(F.col("h").alias("hy")).agg(F.count("*").alias("n"))
+    of_hash = _near(left, right, distance).join(rows.hint("merge"), "hy").groupBy("hx").agg(F.sum("n").alias("n"))
+    own = left.select(F.col("h").alias("hx"), F.col("id").alias("a"))
+    return own.join(of_hash.hint("merge"), "hx").groupBy("a").agg(F.sum("n").alias("matches"))
 
 
 def ngram_overlap(docs: DataFrame, items: DataFrame, n: int = 8, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:

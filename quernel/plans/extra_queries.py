@@ -183,7 +183,7 @@ def historical_near(spark, d):
     """Documents whose SimHash is at most three bits from that of a sample, one in sixteen by content hash, of the
     extracted documents (md5 shingles), with the number of such."""
     old = T.composed(table(spark, d, "extracted_documents", "ext_id", "text").distinct(), "text").withColumn("h", F.sha2(T.composed_key(F.col("text")), 256)).where(F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % 16 == 0)
-    return similarity.simhash_matches(similarity.simhash(spread(docs(spark, d, "doc_id", "text"))), similarity.simhash(old.select(F.col("ext_id").alias("doc_id"), "text"))).groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("matches"))
+    return similarity.simhash_match_counts(similarity.simhash(spread(docs(spark, d, "doc_id", "text"))), similarity.simhash(old.select(F.col("ext_id").alias("doc_id"), "text"))).select(F.col("a").alias("doc_id"), "matches")
 
 
 @query(f"""WITH q AS ({_QUALITY}), a AS (SELECT q.*, sha256({S.key('text')}) AS k, CASE WHEN n < 120 OR alpha < 0.35 OR contains(text, '�') OR score < 0.40 THEN 1 WHEN regexp_matches(text, '{SAMPLE_SECRET.replace(chr(39), chr(39) * 2)}') THEN 2 END AS early FROM q), x AS (SELECT *, min(CASE WHEN early IS NULL THEN doc_id END) OVER (PARTITION BY k) AS first FROM a),
