@@ -17,13 +17,14 @@ def inventory(docs: DataFrame, items: DataFrame, threshold: float = 0.85, min_ch
     first of their group. A document is contaminated if its text equals the text of an item or contains an item's text or prompt
     of at least 40 characters. ``docs`` needs doc_id, text, lang; ids are unique. ``items`` needs text and may have prompt."""
     d = docs.select("doc_id", "text", "lang")
-    judged = filters.with_quality_reason(spread(d))
+    # written once: the stages below would run the filter anew for each of their branches; refused texts aren't needed again
+    judged = cut_lineage(filters.with_quality_reason(spread(d)).withColumn("text", F.when(F.col("reason").isNull(), F.col("text"))))
     refused = judged.where("reason is not null").select("doc_id", "reason")
     passed = judged.where("reason is null").drop("reason")
 
     owners = dedup.paragraph_owners(passed, min_chars=min_chars)
     keep = F.col("first_in_doc") & (F.col("owner_id").isNull() | (F.col("owner_id") == F.col("doc_id")))
-    marks = owners.groupBy("doc_id").agg(F.sum((~keep).cast("int")).alias("removed_paragraphs"), F.collect_set(F.when(~keep, F.col("idx"))).alias("cut"))  # a document's own paragraphs
+    marks = cut_lineage(owners.groupBy("doc_id").agg(F.sum((~keep).cast("int")).alias("removed_paragraphs"), F.collect_set(F.when(~keep, F.col("idx"))).alias("cut")))  # a document's own paragraphs
     parts = F.filter(F.transform(F.split("text", r"\n[ \t\n\x0B\f\r]*\n"), lambda p: F.regexp_replace(p, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")), lambda p: p != "")
     rebuilt = passed.join(marks, "doc_id", "left").select("doc_id", "lang", F.coalesce("removed_paragraphs", F.lit(0)).alias("removed_paragraphs"), F.array_join(F.filter(parts, lambda p, i: ~F.coalesce(F.array_contains(F.col("cut"), i), F.lit(False))), "\n\n").alias("text"))
     changed = filters.with_quality_reason(rebuilt.where("removed_paragraphs > 0"), name="again")
